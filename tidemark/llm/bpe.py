@@ -120,6 +120,17 @@ class WordMemo(dict):
         return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
 
 
+_memos: dict[tuple[str, bool], WordMemo] = {}
+
+
+def shared_memo(path: str, names: bool) -> WordMemo:
+    """The worker process's memo for a tokenizer file: it outlives a task."""
+    found = _memos.get((path, names))
+    if found is None:
+        _memos[path, names] = found = WordMemo(load(path), names)
+    return found
+
+
 def cut_points(data: bytes) -> list[int]:
     """Content-defined cuts: offsets after which a chunk ends, on character
     boundaries. They depend on the eight bytes before them alone."""
@@ -140,9 +151,9 @@ class ChunkEncoder:
     """Encodes and decodes texts through a memo of chunks and one of words."""
 
     def __init__(self, path: str):
-        self.t = load(path)
+        self.words = shared_memo(path, True)
+        self.t = self.words.t
         self.exact = drops_space(self.t)
-        self.words = WordMemo(self.t)
         self.chunks: dict[bytes, tuple] = {}
         self.reused = self.seen = 0
 

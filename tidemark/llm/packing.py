@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import WordMemo, drops_space, load
+from .bpe import drops_space, shared_memo
 from .common import cut, parts, ship
 
 #: Pieces that one shard packs, about.
@@ -66,8 +66,8 @@ def pieces(docs: DataFrame, path: str, capacity: int, text: str, key: str, end_i
     kind = docs.schema[key].dataType
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = load(path)
-        memo = WordMemo(t, names=False)
+        memo = shared_memo(path, False)
+        t = memo.t
         whole = not drops_space(t)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in it:
