@@ -14,7 +14,7 @@ and members only where that leaves the answer open.
 
 *Block-skipping lists.* Candidate pairs of centres come from index lists: each
 document enters the lists of its set's prefix (so many of its elements, rarest
-first, that sets similar enough must share one). Lists are sorted by set size and
+first, that sets similar enough must share ``SHARE`` of them). Lists are sorted by set size and
 position, and for each entry only the block whose sizes can still match is
 visited; within it entries whose positions leave too little room are skipped.
 Rarity is told by a table of ``2**SKETCH`` counters over the shingles of all
@@ -41,6 +41,8 @@ from . import bits
 from .common import U64, Words, batches, cut, mix, parts, ship
 
 SKETCH, _BLOCKS = 20, 64
+#: Elements that the prefixes of a pair must share (fewer where a link needs fewer).
+SHARE = 3
 
 
 def shingle_sets(texts: list, n: int) -> Iterator[np.ndarray]:
@@ -145,7 +147,7 @@ def _entries(docs: DataFrame, text: str, key: str, n: int, percent: int, rarity)
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(k)
-                reach = len(s) - -(-percent * len(s) // 100) + 1
+                reach = len(s) - -(-percent * len(s) // 100) + SHARE
                 p = in_order(s, rarity.value)[:reach]
                 tok.append(p)
                 who.append(np.full(len(p), d, dtype=np.int64))
@@ -185,9 +187,11 @@ def _shared(entries: DataFrame, n_parts: int) -> DataFrame:
 
 
 def _visit(lists: DataFrame, percent: int, n_parts: int, members: bool) -> DataFrame:
-    """Of lists (token, place, id, centre, d): pairs of centres (a, b, slack) whose
-    members share a list with room for a link; with ``members`` the pairs of
-    members (a, b, ca, cb, slack), other than the centres themselves."""
+    """Of lists (token, place, id, centre, d): pairs of centres (a, b, slack, met)
+    whose members share a list with room for a link (met: in how many lists, at
+    least, counting up to SHARE before the room is judged); with ``members`` the
+    pairs of members (a, b, ca, cb, slack), other than the centres themselves, with
+    room at the first element they share."""
 
     def one(place, ids, centre, d) -> list[tuple]:
         size, pos = place >> 32, place & 0xFFFFFFFF
@@ -199,12 +203,15 @@ def _visit(lists: DataFrame, percent: int, n_parts: int, members: bool) -> DataF
             j = slice(i + 1, int(stop[i]))
             if j.stop <= j.start:
                 continue
-            room = 1 + np.minimum(size[i] - pos[i] - 1, size[j] - pos[j] - 1)
-            ok = np.flatnonzero((room >= -(-percent * (size[i] + size[j]) // (100 + percent))) & (centre[j] != centre[i])) + i + 1
+            room = (1 if members else SHARE) + np.minimum(size[i] - pos[i] - 1, size[j] - pos[j] - 1)
+            need = -(-percent * (size[i] + size[j]) // (100 + percent))
+            ok = np.flatnonzero((room >= need) & (centre[j] != centre[i]))
+            weight = np.where(need < SHARE, SHARE, 1)[ok]
+            ok += i + 1
             if members:
-                ok = ok[d[ok] + d[i] > 0]
+                weight, ok = weight[d[ok] + d[i] > 0], ok[d[ok] + d[i] > 0]
             if len(ok):
-                out.append((np.full(len(ok), ids[i]), ids[ok], np.full(len(ok), centre[i]), centre[ok], d[ok] + d[i]))
+                out.append((np.full(len(ok), ids[i]), ids[ok], np.full(len(ok), centre[i]), centre[ok], d[ok] + d[i], weight))
         return out
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +221,7 @@ def _visit(lists: DataFrame, percent: int, n_parts: int, members: bool) -> DataF
                 out += one(*(c[bounds[k] : bounds[k + 1]] for c in cols[1:]))
             if not out:
                 continue
-            ia, ib, ca, cb, slack = (np.concatenate(x) for x in zip(*out, strict=True))
+            ia, ib, ca, cb, slack, weight = (np.concatenate(x) for x in zip(*out, strict=True))
             if members:
                 flip = ia > ib
                 a, b, ca, cb = np.where(flip, ib, ia), np.where(flip, ia, ib), np.where(flip, cb, ca), np.where(flip, ca, cb)
@@ -224,10 +231,11 @@ def _visit(lists: DataFrame, percent: int, n_parts: int, members: bool) -> DataF
                 pair, at = np.unique(np.stack([np.minimum(ca, cb), np.maximum(ca, cb)], axis=1), axis=0, return_inverse=True)
                 most = np.zeros(len(pair))
                 np.maximum.at(most, at.ravel(), slack)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(most)], names=["a", "b", "slack"])
+                met = np.bincount(at.ravel(), weights=weight).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(most), pa.array(met)], names=["a", "b", "slack", "met"])
 
     dealt = lists.select("token", "place", "id", "centre", "d").repartition(n_parts, "token").sortWithinPartitions("token", "place")
-    return dealt.mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint, slack double" if members else "a bigint, b bigint, slack double")
+    return dealt.mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint, slack double" if members else "a bigint, b bigint, slack double, met bigint")
 
 
 def _measure(docs: DataFrame, pairs: DataFrame, text: str, key: str, n: int) -> DataFrame:
@@ -313,7 +321,7 @@ def links(docs: DataFrame, rows: DataFrame, percent: int, n: int, text: str, key
     place = copies.select(F.col("b").alias("id"), F.col("a").alias("rep")).join(own, "rep", "left").select("id", "rep", F.coalesce("centre", "rep").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d"))
     shared = _shared(_entries(docs, text, key, n, percent, rarity), n_parts)
     lists = cut(shared.join(place, "id").select("token", "place", F.col("rep").alias("id"), "centre", "d"))
-    pairs = cut(_visit(lists, percent, n_parts, False).groupBy("a", "b").agg(F.max("slack").alias("slack")))
+    pairs = cut(_visit(lists, percent, n_parts, False).groupBy("a", "b").agg(F.max("slack").alias("slack"), F.sum("met").alias("met")).where(f"met >= {SHARE}").drop("met"))
     known = met.join(pairs.select("a", "b"), ["a", "b"], "left_semi")
     new = _measure(docs, pairs.select("a", "b").join(met, ["a", "b"], "left_anti"), text, key, n)
     settled = cut(new.unionByName(known).join(pairs, ["a", "b"]).withColumn("far", far))
