@@ -259,7 +259,7 @@ def test_sources(spark, tmp_path):
 
 def test_streaming_agrees_with_batch(spark, tmp_path):
     rows = [("k1", 0), ("k2", 1000), ("k1", 4000), ("k1", 11000), ("k2", 12000), ("k1", 60000)]
-    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "seq long, key string, ms long").withColumn("at", F.timestamp_millis("ms"))
+    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "seq long, key string, ms long").withColumn("at", F.timestamp_millis(F.col("ms") + 3_600_000))
     for i in range(3):
         df.where(F.col("seq").between(2 * i, 2 * i + 1)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     read = lambda: sources.stream_feed(spark, f"{tmp_path}/in", schema=df.schema)
