@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, ship
+from .common import cut, hash_sample, ship
 
 SAMPLE, TREES, DEPTH, BLOCK = 20_000, 32, 8, 4096
 
@@ -112,7 +112,8 @@ class Forest:
 
 
 def fit_forest(rows: DataFrame, vector: str, key: str, sample: int = SAMPLE) -> Forest | None:
-    got = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(vector).alias("v"), F.col(key).alias("k")).orderBy(F.xxhash64("k"), "k").limit(sample).select("v").toArrow()
+    known = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
+    got = hash_sample(known.select(F.col(vector).alias("v"), F.col(key).alias("k")), "k", sample).select("v").toArrow()
     vectors = got.column("v").to_pylist()
     widths = [len(v) for v in vectors if len(v)]
     if not widths:

@@ -9,6 +9,7 @@ import zipfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Fixed seed of every random table below, so all executors build the same ones.
@@ -83,6 +84,17 @@ def powers(n: int) -> np.ndarray:
     return _power[:n]
 
 
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows, those with the smallest hash of ``key``. A threshold
+    on the hash thins the table out before it is sorted, so what tasks send to the
+    driver follows ``rows``, not the number of tasks."""
+    total = df.count()
+    if total > rows:
+        share = int(2**31 * min(1.0, (rows + 4 * rows**0.5) / total))
+        df = df.where(F.pmod(F.xxhash64(key), F.lit(2**31)) < share)
+    return df.orderBy(F.pmod(F.xxhash64(key), F.lit(2**31)), key).limit(rows)
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a run of texts, as numpy arrays.
 

@@ -5,8 +5,8 @@ documents link when their sets' Jaccard similarity reaches ``percent`` / 100;
 the result is the component each document lies in. Equal sets are collapsed
 first; every later step works on one document of each set.
 
-*Answers from similar sets.* Documents that share a minimum hash meet the
-smallest of them, their *centre*; the exact similarity with the centre is
+*Answers from similar sets.* Documents that share a minimum hash meet one
+of them, their *centre*; the exact similarity with the centre is
 computed once, and who links with it (distance d) takes over its answers: a pair
 x, y of members with centres a, b is settled by the triangle inequality of the
 Jaccard distance, D(x, y) >= D(a, b) - d(x) - d(y), so only centres are compared
@@ -130,8 +130,9 @@ def in_order(s: np.ndarray, rarity: np.ndarray) -> np.ndarray:
 
 
 def _entries(docs: DataFrame, text: str, key: str, n: int, percent: int, rarity) -> DataFrame:
-    """Index entries (token, id, size, position) of each document's prefix; equal
-    sets enter once a partition."""
+    """Index entries (token, id, size and position) of each document's prefix;
+    equal sets enter once a partition. And a row with a negative place for each
+    document: how common its elements are on average, dealt by its id."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -141,6 +142,10 @@ def _entries(docs: DataFrame, text: str, key: str, n: int, percent: int, rarity)
             for d, s in zip(ids, shingle_sets(batch.column(1).to_pylist(), n), strict=True):
                 if d is None or not len(s):
                     continue
+                common = rarity.value[(s >> U64(64 - SKETCH)).astype(np.int64)].mean()
+                tok.append(mix(np.array([d], dtype=np.int64).view(np.uint64)))
+                who.append(np.array([d], dtype=np.int64))
+                place.append(np.array([-1 - round(1000 * float(common))], dtype=np.int64))
                 k = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 if k in seen:
                     continue
@@ -175,12 +180,12 @@ def by_list(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np
 
 
 def _shared(entries: DataFrame, n_parts: int) -> DataFrame:
-    """Entries of lists with two documents or more."""
+    """Entries of lists with two documents or more, and the rows of documents."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, bounds in by_list(it):
             size = np.diff(bounds)
-            keep = np.repeat(size > 1, size)
+            keep = np.repeat(size > 1, size) | (cols[2] < 0)
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["token", "id", "place"])
 
     return entries.repartition(n_parts, "token").sortWithinPartitions("token").mapInArrow(run, "token bigint, id bigint, place bigint")
@@ -306,12 +311,16 @@ def links(docs: DataFrame, rows: DataFrame, percent: int, n: int, text: str, key
     classes = cut(rows.groupBy("same").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("m1").alias("m1"), F.first("m2").alias("m2"), F.first("sig").alias("sig")))
     copies = rows.select("same", F.col("id").alias("b")).join(classes.select("same", "rep"), "same").select(F.col("rep").alias("a"), "b")
     copies = cut(copies)
-    # centres: the smallest document with the same minimum hash, where sizes and signatures look alike
+    # centres: of the documents with the same minimum hash the one whose elements are most common
+    # (the original of near copies has none of their changes), where sizes and signatures look alike
+    entries = cut(_shared(_entries(docs, text, key, n, percent, rarity), n_parts))
+    common = entries.where("place < 0").groupBy(F.col("id").alias("rep")).agg(F.min("place").alias("common"))
+    classes = cut(classes.join(common, "rep"))
     alike = F.expr("size(filter(sequence(1, 16), i -> substring(sig, i, 1) = substring(csig, i, 1)))")
     stars = []
     for m in ("m1", "m2"):
-        low = classes.groupBy(m).agg(F.min(F.struct("rep", "size", "sig")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1").select(m, F.col("c.rep").alias("a"), F.col("c.size").alias("csize"), F.col("c.sig").alias("csig"))
-        star = classes.join(low, m).where(f"a < rep and 100L * least(size, csize) >= {percent}L * greatest(size, csize)")
+        low = classes.groupBy(m).agg(F.min(F.struct("common", "rep", "size", "sig")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1").select(m, F.col("c.rep").alias("a"), F.col("c.size").alias("csize"), F.col("c.sig").alias("csig"))
+        star = classes.join(low, m).where(f"a != rep and 100L * least(size, csize) >= {percent}L * greatest(size, csize)")
         stars.append(star.where(alike >= 11).select("a", F.col("rep").alias("b")))
     linked = F.expr(f"100L * common >= {percent}L * (sa + sb - common)")
     far = 1 - F.col("common") / (F.col("sa") + F.col("sb") - F.col("common"))
@@ -319,11 +328,11 @@ def links(docs: DataFrame, rows: DataFrame, percent: int, n: int, text: str, key
     joined = met.where(linked).select("a", "b", far.alias("d"))
     own = joined.groupBy("b").agg(F.min(F.struct("d", "a")).alias("c")).select(F.col("b").alias("rep"), F.col("c.a").alias("centre"), F.col("c.d").alias("d"))
     place = copies.select(F.col("b").alias("id"), F.col("a").alias("rep")).join(own, "rep", "left").select("id", "rep", F.coalesce("centre", "rep").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d"))
-    shared = _shared(_entries(docs, text, key, n, percent, rarity), n_parts)
-    lists = cut(shared.join(place, "id").select("token", "place", F.col("rep").alias("id"), "centre", "d"))
+    lists = cut(entries.where("place >= 0").join(place, "id").select("token", "place", F.col("rep").alias("id"), "centre", "d"))
     pairs = cut(_visit(lists, percent, n_parts, False).groupBy("a", "b").agg(F.max("slack").alias("slack"), F.sum("met").alias("met")).where(f"met >= {SHARE}").drop("met"))
-    known = met.join(pairs.select("a", "b"), ["a", "b"], "left_semi")
-    new = _measure(docs, pairs.select("a", "b").join(met, ["a", "b"], "left_anti"), text, key, n)
+    either = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common", "sa", "sb").dropDuplicates(["a", "b"])
+    known = either.join(pairs.select("a", "b"), ["a", "b"], "left_semi")
+    new = _measure(docs, pairs.select("a", "b").join(either, ["a", "b"], "left_anti"), text, key, n)
     settled = cut(new.unionByName(known).join(pairs, ["a", "b"]).withColumn("far", far))
     out = copies.where("a != b").unionByName(joined.select("a", "b")).unionByName(settled.where(linked).select("a", "b"))
     # members: only where the triangle inequality leaves a link possible

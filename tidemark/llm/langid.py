@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, ship
+from .common import batches, hash_sample, ship
 
 SAMPLE_CHARS = 4000
 #: Cost of a switch of language between two words, in nats.
@@ -215,7 +215,7 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
 def train_langid(docs: DataFrame, train, sample: int = 6000, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
     """Learns from rows where ``train`` holds and both text and language are known."""
     pick = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    pick = pick.select(F.substring(text, 1, SAMPLE_CHARS).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k")).orderBy(F.xxhash64("k"), "k", "t").limit(sample)
+    pick = hash_sample(pick.select(F.substring(text, 1, SAMPLE_CHARS).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k")), "k", sample)
     return fit([(r["t"], r["l"]) for r in pick.collect()])
 
 
