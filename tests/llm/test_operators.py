@@ -209,6 +209,21 @@ def test_neighbours_odd(spark):
     assert neighbours(rows.limit(0), rows.limit(0)).count() == 0
 
 
+def test_neighbours_ties(spark):
+    """Copies of one vector score alike wherever they stand, so the smallest ids win."""
+    from tidemark.llm.ann import neighbours
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64)).astype(np.float32).astype(float)
+    copies = np.sort(rng.choice(np.arange(1, 3000), 700, replace=False))
+    x[copies] = x[copies[0]]
+    near = x[copies[0]] + 0.3 * rng.normal(size=64)
+    x[0] = near
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(7)
+    got = sorted(neighbours(rows, rows.where("vec_id = 0"), fraction=1.0).collect(), key=lambda r: r["rank"])
+    assert [r["vec_id"] for r in got] == copies[:5].tolist() and len({r["score"] for r in got}) == 1
+
+
 # 6 substring
 
 

@@ -161,11 +161,11 @@ def _scanner(shared, held, k: int):
         at = np.flatnonzero(wanted)
         if not len(at):
             return ids[:0], np.zeros(0)
-        s = x[at] @ v
         if len(at) > k:
-            s_k = np.partition(s, len(s) - k)[len(s) - k]
-            keep = s >= s_k
-            at, s = at[keep], s[keep]
+            s = x[at] @ v
+            at = at[s >= np.partition(s, len(s) - k)[len(s) - k] - 1e-12]
+        # summed row by row: a product of matrices rounds equal vectors unequally, and ties would break
+        s = (x[at] * v).sum(axis=1)
         order = np.lexsort((ids[at], -s))[:k]
         return ids[at[order]], s[order]
 
