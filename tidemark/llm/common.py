@@ -10,8 +10,11 @@ import zipfile
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
+#: Bytes of all sampled texts together that a fit takes to the driver.
+SAMPLE_BYTES = 64_000_000
 #: Fixed seed of every random table below, so all executors build the same ones.
 _rng = np.random.default_rng(20240229)
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
@@ -95,6 +98,20 @@ def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     return df.orderBy(F.pmod(F.xxhash64(key), F.lit(2**31)), key).limit(rows)
 
 
+def whole_texts(df: DataFrame, sized: list[tuple], key: str, text: str, size: int) -> list:
+    """The rows of ``df`` with the keys of ``sized`` (key, bytes of its text), texts
+    whole, in order of a hash of the key. Keys are taken in the order given while
+    their texts keep within ``size`` bytes together; one that doesn't fit is passed
+    over, so that the driver's memory is bounded however long texts are."""
+    taken, total = [], 0
+    for k, n in sized:
+        if k is not None and total + n <= size:
+            taken.append((k,))
+            total += n
+    ids = df.sparkSession.createDataFrame(sorted(set(taken)), T.StructType([T.StructField(key, df.schema[key].dataType)]))
+    return df.join(F.broadcast(ids), key, "left_semi").orderBy(F.xxhash64(key), key, text).limit(max(1, len(taken))).collect()
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a run of texts, as numpy arrays.
 

@@ -11,7 +11,7 @@ the most letters in the labelling is the prediction and its share of the letters
 weighed by how clearly its words are its own, is the score.
 
 Bounded sample: at most ``sample`` labelled texts, those with the smallest hash
-of their id, and ``SAMPLE_CHARS`` of each. Every whole text is labelled, in one
+of their id, whole, as far as they keep within ``size`` bytes together. Every whole text is labelled, in one
 map without a shuffle. Texts that are null or have no letter get ``und``, 0.
 """
 
@@ -28,9 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batches, hash_sample, ship
+from .common import SAMPLE_BYTES, batches, hash_sample, ship, whole_texts
 
-SAMPLE_CHARS = 4000
 #: Cost of a switch of language between two words, in nats.
 SWITCH = 6.0
 #: Words kept for each language, and entries of a task's memo of word scores.
@@ -190,7 +189,7 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
     counts = [Counter() for _ in langs]
     scripts = np.zeros((k, len(_NAMES)))
     for text, lang in rows:
-        counts[langs.index(lang)].update(words(text[:SAMPLE_CHARS]))
+        counts[langs.index(lang)].update(words(text))
     for i, c in enumerate(counts):
         for w, n in c.items():
             for g in trigrams(w):
@@ -212,11 +211,11 @@ def fit(rows: list[tuple[str, str]]) -> LanguageModel:
     return LanguageModel(langs, grams, gram_scores, vocabulary, np.array([*word_scores, np.zeros(k)]), share > 0.02)
 
 
-def train_langid(docs: DataFrame, train, sample: int = 6000, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
-    """Learns from rows where ``train`` holds and both text and language are known."""
-    pick = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    pick = hash_sample(pick.select(F.substring(text, 1, SAMPLE_CHARS).alias("t"), F.col(lang).alias("l"), F.col(key).alias("k")), "k", sample)
-    return fit([(r["t"], r["l"]) for r in pick.collect()])
+def train_langid(docs: DataFrame, train, sample: int = 6000, text: str = "text", lang: str = "lang", key: str = "doc_id", size: int = SAMPLE_BYTES) -> LanguageModel:
+    """Learns from rows where ``train`` holds and text, language and id are known."""
+    known = docs.where(train & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
+    sized = [tuple(r) for r in hash_sample(known.select("k", F.octet_length("t").alias("n")), "k", sample).collect()]
+    return fit([(r["t"], r["l"]) for r in whole_texts(known, sized, "k", "t", size)])
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -1,15 +1,17 @@
 """Operator 9: a compression classifier of text quality.
 
 Two zstandard dictionaries are built, one from good and one from bad labelled
-texts. A text is compressed with either; the difference of the compressed sizes,
-divided by the length of the text (both also against compression without a
-dictionary, so that a text that repeats itself shows), goes through a logistic
-calibration fitted on labelled texts that built no dictionary.
+texts, of passages of ``BLOCK`` bytes spread evenly over each. A text is compressed
+with either, block by block, so that a dictionary tells as much in a long text as
+in a short one; the difference of the compressed sizes, divided by the length of
+the text (both also against compression of the whole without a dictionary, so
+that a text that repeats itself shows), goes through a logistic calibration fitted
+on whole labelled texts that built no dictionary.
 
 Bounded sample: at most ``sample`` labelled rows of each label, those with the
-smallest hash of their id; ``SAMPLE_BYTES`` of each of their texts. Every whole
-text is scored, in one map without a shuffle. Null and empty texts get the score
-of the empty text.
+smallest hash of their id, as far as their whole texts keep within ``size`` bytes
+together. Every whole text is scored, in one map without a shuffle. Null and empty
+texts get the score of the empty text.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import SAMPLE_BYTES, ship, whole_texts
 
-#: Bytes of a labelled text that are taken when fitting, and of a dictionary.
-SAMPLE_BYTES, DICT_BYTES = 20_000, 112_640
+#: Bytes of a dictionary, and of the blocks that are compressed with it.
+DICT_BYTES, BLOCK = 112_640, 2048
+#: Blocks of one text that go into a dictionary: long texts don't crowd out others.
+PASSAGES = 4
 LEVEL = 3
 
 
@@ -56,7 +60,9 @@ class CompressionModel:
         for i, t in enumerate(texts):
             data = (t or "").encode("utf-8", "replace")
             n = len(data) + 16
-            g, b, c = (len(x.compress(data)) for x in self._c)
+            blocks = [data[a : a + BLOCK] for a in range(0, max(1, len(data)), BLOCK)]
+            g, b = (sum(len(x.compress(p)) for p in blocks) for x in self._c[:2])
+            c = len(self._c[2].compress(data))
             out[i] = (b - g) / n, (b - g) / (b + g), c / n, min(g, b) / n, np.log(n)
         return out
 
@@ -86,29 +92,36 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w
 
 
+def passages(data: bytes) -> list[bytes]:
+    """Blocks of a text, at most PASSAGES of them, spread evenly over it."""
+    if len(data) <= PASSAGES * BLOCK:
+        return [data[a : a + BLOCK] for a in range(0, len(data), BLOCK)]
+    return [data[a : a + BLOCK] for a in ((len(data) - BLOCK) * i // (PASSAGES - 1) for i in range(PASSAGES))]
+
+
 def dictionary(texts: list[bytes]) -> bytes:
     """A zstandard dictionary of the texts; raw content where there are too few."""
     import zstandard as z
 
-    texts = [t for t in texts if t]
+    texts = [p for t in texts for p in passages(t)]
     try:
         return z.train_dictionary(min(DICT_BYTES, max(256, sum(map(len, texts)) // 8)), texts).as_bytes()
     except z.ZstdError:
         return b"".join(texts)[-DICT_BYTES:] or b"no labelled text "
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, train, sample: int, text: str, key: str) -> list[tuple[str, int, float]]:
-    """At most ``sample`` (text, label, weight) of each label, of rows where
-    ``train`` holds, ordered by a hash of the id: a bounded number of rows on the
-    driver. The weight makes up for labels that the sample thins out."""
-    rows = docs.select(F.col(key), F.substring(F.coalesce(F.col(text), F.lit("")), 1, SAMPLE_BYTES).alias("t")).where(train)
+def labelled(docs: DataFrame, labels: DataFrame, label: str, train, sample: int, text: str, key: str, size: int = SAMPLE_BYTES) -> list[tuple[str, int, float]]:
+    """At most ``sample`` (whole text, label, weight) of each label, of rows where
+    ``train`` holds, ordered by a hash of the id, and ``size`` bytes of texts: a
+    bounded sample on the driver. The weight makes up for labels that it thins out."""
+    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t")).where(train)
     known = labels.select(F.col(key), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1)).where(train)
     total = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     pick = known.where(F.col("y") == 0).orderBy(F.xxhash64(key), key).limit(sample).unionByName(known.where(F.col("y") == 1).orderBy(F.xxhash64(key), key).limit(sample))
     chosen = {r[0]: r[1] for r in pick.collect()}
     ids = rows.sparkSession.createDataFrame([(k,) for k in chosen], T.StructType([T.StructField(key, docs.schema[key].dataType)]))
-    found = rows.join(F.broadcast(ids), key, "left_semi").orderBy(F.xxhash64(key), key, "t").limit(2 * sample).collect()
-    rows = [(r["t"], chosen[r[key]]) for r in found]
+    sized = rows.join(F.broadcast(ids), key, "left_semi").select(key, F.octet_length("t").alias("n")).orderBy(F.xxhash64(key), key, "n").limit(2 * sample).collect()
+    rows = [(r["t"], chosen[r[key]]) for r in whole_texts(rows, sized, key, "t", size)]
     have = {k: max(1, sum(y == k for _, y in rows)) for k in (0, 1)}
     norm = len(rows) / max(1, sum(total.values()))
     return [(t, y, norm * total[y] / have[y]) for t, y in rows]
@@ -126,8 +139,8 @@ def fit(rows: list[tuple[str, int, float]]) -> CompressionModel:
     return model
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, train, label: str = "quality", sample: int = 3000, text: str = "text", key: str = "doc_id") -> CompressionModel:
-    return fit(labelled(docs, labels, label, train, sample, text, key))
+def train_quality(docs: DataFrame, labels: DataFrame, train, label: str = "quality", sample: int = 3000, text: str = "text", key: str = "doc_id", size: int = SAMPLE_BYTES) -> CompressionModel:
+    return fit(labelled(docs, labels, label, train, sample, text, key, size))
 
 
 def score_texts(docs: DataFrame, model, text: str = "text", name: str = "score") -> DataFrame:

@@ -8,8 +8,8 @@ broadcast as two short arrays. Words are runs of letters and digits, A-Z in
 lower case; other bytes of ASCII separate them.
 
 Bounded sample: at most ``sample`` labelled rows of each label, those with the
-smallest hash of their id, weighed back to the labels' true counts. All whole
-texts are scored, in one map without a shuffle. Null and empty texts get the
+smallest hash of their id, as far as their whole texts keep within ``size`` bytes
+together. All whole texts are scored, in one map without a shuffle. Null and empty texts get the
 score of the bias alone.
 """
 
@@ -18,7 +18,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import U64, Words, batches, mix
+from .common import SAMPLE_BYTES, U64, Words, batches, mix
 from .quality import labelled, logistic
 
 BITS = 20
@@ -111,5 +111,5 @@ def fit(rows: list[tuple[str, int, float]], epochs: int = 4) -> ToxicityModel:
     return model
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", sample: int = 3000, text: str = "text", key: str = "doc_id") -> ToxicityModel:
-    return fit(labelled(docs, labels, label, train, sample, text, key))
+def train_toxicity(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", sample: int = 3000, text: str = "text", key: str = "doc_id", size: int = SAMPLE_BYTES) -> ToxicityModel:
+    return fit(labelled(docs, labels, label, train, sample, text, key, size))
