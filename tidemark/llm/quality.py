@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SAMPLE_BYTES, ship, whole_texts
+from .common import SAMPLE_BYTES, hash_sample, ship, whole_texts
 
 #: Bytes of a dictionary, and of the blocks that are compressed with it.
 DICT_BYTES, BLOCK = 112_640, 2048
@@ -117,7 +117,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, train, sample: int,
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t")).where(train)
     known = labels.select(F.col(key), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1)).where(train)
     total = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    pick = known.where(F.col("y") == 0).orderBy(F.xxhash64(key), key).limit(sample).unionByName(known.where(F.col("y") == 1).orderBy(F.xxhash64(key), key).limit(sample))
+    known = known.where(F.col(key).isNotNull())
+    pick = hash_sample(known.where(F.col("y") == 0), key, sample).unionByName(hash_sample(known.where(F.col("y") == 1), key, sample))
     chosen = {r[0]: r[1] for r in pick.collect()}
     ids = rows.sparkSession.createDataFrame([(k,) for k in chosen], T.StructType([T.StructField(key, docs.schema[key].dataType)]))
     sized = rows.join(F.broadcast(ids), key, "left_semi").select(key, F.octet_length("t").alias("n")).orderBy(F.xxhash64(key), key, "n").limit(2 * sample).collect()
