@@ -30,9 +30,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates; documents
-    without words are linked with nothing and stay."""
-    rows = components(docs)
+    """Keeps the smallest doc_id of each group of near duplicates (shingles of
+    five words, Jaccard similarity 0.8 or more; op10 has its own contract);
+    documents without words are linked with nothing and stay."""
+    rows = components(docs, percent=80, n=5)
     return _keep(docs, rows.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id").distinct())
 
 
