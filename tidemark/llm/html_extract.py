@@ -8,7 +8,10 @@ parent, half to the grandparent, less further up. The container with most points
 is the article, or the ``article``/``main`` element around it; siblings with
 enough points, and plain sibling paragraphs, are kept with it. Parts that say
 what they are by tag, role, class or id (menus, headers, footers, sidebars,
-notices, adverts, forms, comments, hidden parts) give no points and no text.
+notices, adverts, forms, comments, hidden parts) give no points and no text. A
+class or id takes no part away that lies around half or more of the text within
+``article``/``main`` elements, or, on a page without these, holds most of the
+points of the page. Lists of links within the article are kept.
 
 Null html counts as empty and gives the empty text. Each page is handled alone,
 in one map without a shuffle. Repeated rows give repeated results.
@@ -47,29 +50,35 @@ _SCOPE = frozenset("body html div section article main table ul ol dl blockquote
 
 
 class _Node:
-    __slots__ = ("tag", "up", "drop", "own", "points", "letters", "linked")
+    __slots__ = ("tag", "up", "drop", "own", "named", "points", "letters", "linked", "gain", "inner")
 
-    def __init__(self, tag: str, up: _Node | None, drop: bool, own: bool):
+    def __init__(self, tag: str, up: _Node | None, drop: bool, own: bool, named: bool = False):
         self.tag, self.up, self.drop, self.own = tag, up, drop, own
-        self.points = self.letters = self.linked = 0.0
+        #: The parts around it, itself included, whose class or id is unwanted.
+        self.named: tuple[_Node, ...] = up.named if up else ()
+        if named:
+            self.named += (self,)
+        self.points = self.letters = self.linked = self.gain = self.inner = 0.0
 
 
-def _unwanted(tag: str, attrs: str, inside: bool) -> bool:
+def _unwanted(tag: str, attrs: str, inside: bool) -> int:
+    """2 for a part that goes, 1 for one that its class or id calls unwanted."""
     if tag in _DROP_TAGS or tag == "header" and not inside:
-        return True
+        return 2
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    named = 0
     for name, *value in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(value).lower()
         if name in ("class", "id") and not _DROP_NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+            named = 1
         if name == "role" and value.strip() in _DROP_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return 2
+    return named
 
 
 def _blocks(page: str) -> list[tuple[_Node, str, int]]:
-    """(node, text, letters in links) of the wanted blocks, in page order."""
+    """(node, text, letters in links) of the blocks, in page order, but for parts that go whole."""
     root = _Node("html", None, False, False)
     now, out = root, []
     held: list[str] = []
@@ -129,20 +138,41 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
         if tag in _VOID or m[4].endswith("/") and tag not in _SCOPE:
             continue
         own = now.own or tag in ("article", "main")
-        now = _Node(tag, now, now.drop or _unwanted(tag, m[4], now.own), own)
+        unwanted = _unwanted(tag, m[4], now.own)
+        now = _Node(tag, now, now.drop or unwanted == 2, own, unwanted == 1)
     if at < len(page):
         held.append(page[at:])
     flush()
     return out
 
 
+def _gain(node: _Node, text: str, linked: int) -> float:
+    return (1 + text.count(",") + min(len(text) // 100, 3)) * (1 - linked / len(text)) * (0.3 if node.tag in _HEADINGS else 1)
+
+
+def _wanted(blocks: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+    """The blocks without those that a class or id calls unwanted, unless what it
+    names lies around the articles or holds most of the page."""
+    if not any(node.named for node, _, _ in blocks):
+        return blocks
+    for node, text, linked in blocks:
+        gain, x, inner = _gain(node, text, linked) + 1e-9, node, False
+        while x is not None:
+            x.gain += gain
+            x.inner += gain * inner  # what lies in an article below x
+            inner = inner or x.tag in ("article", "main")
+            root, x = x, x.up
+    stays = (lambda x: 2 * x.inner >= root.inner) if root.inner else (lambda x: 2 * x.gain > root.gain)
+    return [b for b in blocks if all(map(stays, b[0].named))]
+
+
 def main_text(page: str | None) -> str:
     """The blocks of the main text, joined by line feeds."""
-    blocks = _blocks(page or "")
+    blocks = _wanted(_blocks(page or ""))
     best, seen = None, []
     for node, text, linked in blocks:
         n = len(text)
-        gain = (1 + text.count(",") + min(n // 100, 3)) * (1 - linked / n) * (0.3 if node.tag in _HEADINGS else 1)
+        gain = _gain(node, text, linked)
         x, level = (node.up if node.tag in _HEADINGS or node.tag in ("p", "pre", "li", "blockquote", "td", "th", "dd", "dt", "tr") and node.up else node), 0
         y = node
         while y is not None:
@@ -178,11 +208,8 @@ def main_text(page: str | None) -> str:
                 dense = x.linked / max(1, x.letters)
                 if not (worth.get(id(x), 0.0) >= least and dense < 0.3 or x.tag == "p" and dense < 0.25 and (len(text) > 80 or dense == 0 and text[-1:] in ".!?")):
                     x = None
-        if x is None:
-            continue
-        if node.tag in ("li", "ul", "ol") and linked > 0.5 * len(text):
-            continue  # a list of links within the article
-        kept.append(text)
+        if x is not None:
+            kept.append(text)
     return "\n".join(kept)
 
 
