@@ -5,7 +5,7 @@ with the smallest hash of their id): each node splits at the median of the
 projection on the line through two of its rows. Every row is indexed: it falls
 into one leaf of each tree. A query walks all trees through one shared priority
 queue, ordered by the smallest margin on the way down, until the leaves taken
-hold ``fraction`` of the sample; the rows of these leaves are its candidates, and
+hold ``fraction`` of the sample, and ``k`` of its rows with other ids; the rows of these leaves are its candidates, and
 they are reranked by the exact cosine in double precision.
 
 Queries go over all rows in blocks of ``BLOCK``: a block (bounded, whatever the
@@ -53,9 +53,17 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _between(p: np.ndarray) -> float:
+    """A cut beside the median, in a gap: on a row's own value, rounding would
+    send the row to one side here and to the other when it is looked up."""
+    right = p >= np.median(p) - 1e-9
+    return float((p[~right].max() + p[right].min()) / 2 if not right.all() else p.min() - 1)
+
+
 class Forest:
-    def __init__(self, sample: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 11):
-        """sample: unit vectors (n, width)."""
+    def __init__(self, sample: np.ndarray, ids: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 11):
+        """sample: unit vectors (n, width); ids: their ids."""
+        self.ids = ids
         rng = np.random.default_rng(seed)
         n, width = sample.shape
         self.depth, self.width, self.size = depth, width, n
@@ -71,7 +79,7 @@ class Forest:
                         w = rng.normal(size=width)
                     w = w / np.sqrt((w * w).sum())
                     p = sample[m] @ w
-                    c = float(np.median(p)) if len(p) else 0.0
+                    c = _between(p) if len(p) else 0.0
                     self.planes[t, k], self.cuts[t, k] = w, c
                     below += [m[p < c], m[p >= c]]
                 rows = below
@@ -88,15 +96,16 @@ class Forest:
             out[:, t] = at
         return out
 
-    def search(self, q: np.ndarray, fraction: float) -> np.ndarray:
-        """(trees, leaves) booleans: the leaves that one query looks into."""
+    def search(self, q: np.ndarray, fraction: float, own: int, k_least: int) -> np.ndarray:
+        """(trees, leaves) booleans: the leaves that one query, of the id ``own``,
+        looks into; they hold ``k_least`` rows of other ids, or all there are."""
         margins = (self.planes @ q - self.cuts).tolist()
         inner = 2**self.depth - 1
         taken = np.zeros((len(margins), inner + 1), dtype=bool)
         covered, n, want = np.zeros(self.size, dtype=bool), 0, fraction * self.size
         queue = [(-np.inf, t, 0) for t in range(len(margins))]
-        since = 0
-        while queue and n < want:
+        since, others = 0, 0
+        while queue and (n < want or others < k_least):
             worst, t, k = heapq.heappop(queue)
             if k >= inner:
                 taken[t, k - inner] = True
@@ -104,6 +113,8 @@ class Forest:
                 since += 1
                 if since % 8 == 0:
                     n = np.count_nonzero(covered)
+                    if others < k_least:
+                        others = np.count_nonzero(covered & (self.ids != own))
                 continue
             m = margins[t][k]
             heapq.heappush(queue, (max(worst, m), t, 2 * k + 1))
@@ -113,13 +124,13 @@ class Forest:
 
 def fit_forest(rows: DataFrame, vector: str, key: str, sample: int = SAMPLE) -> Forest | None:
     known = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull())
-    got = hash_sample(known.select(F.col(vector).alias("v"), F.col(key).alias("k")), "k", sample).select("v").toArrow()
+    got = hash_sample(known.select(F.col(vector).alias("v"), F.col(key).alias("k")), "k", sample).select("v", F.col("k").cast("long").alias("k")).toArrow()
     vectors = got.column("v").to_pylist()
     widths = [len(v) for v in vectors if len(v)]
     if not widths:
         return None
-    _, x = usable(vectors, max(set(widths), key=widths.count))
-    return Forest(unit(x)) if len(x) else None
+    at, x = usable(vectors, max(set(widths), key=widths.count))
+    return Forest(unit(x), np.asarray(got.column("k").to_pylist(), dtype=np.int64)[at]) if len(x) else None
 
 
 def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, fraction: float = 0.45, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -137,8 +148,8 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int = 5, fraction: float
         f = shared.value
         for batch in it:
             at, x = usable(batch.column(1).to_pylist(), f.width)
-            x = unit(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)).cast(pa.int64()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([np.packbits(f.search(v, fraction)).tobytes() for v in x], pa.binary())], names=["q", "v", "leaves"])
+            x, ids = unit(x), batch.column(0).take(pa.array(at)).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array([v.tobytes() for v in x], pa.binary()), pa.array([np.packbits(f.search(v, fraction, own, k)).tobytes() for v, own in zip(x, ids.to_pylist(), strict=True)], pa.binary())], names=["q", "v", "leaves"])
 
     ready = queries.where(F.col(key).isNotNull()).dropDuplicates([key]).select(F.col(key).cast("long").alias("q"), F.col(vector).alias("v")).mapInArrow(prepare, "q bigint, v binary, leaves binary")
     # Blocks by rank of the id's hash range: each holds about BLOCK queries.
