@@ -95,7 +95,7 @@ class LanguageModel:
         if not found:
             return np.zeros((0, len(self.langs)))
         get, none = self.grams.get, len(self.gram_scores) - 1
-        rows = [[get(x, none) for x in trigrams(w[:64])] for w in found]
+        rows = [[get(x, none) for x in trigrams(w)] for w in found]
         sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
         flat = np.fromiter((x for r in rows for x in r), dtype=np.int64, count=int(sizes.sum()))
         s = np.add.reduceat(self.gram_scores[flat], np.cumsum(sizes) - sizes, axis=0) / np.sqrt(sizes)[:, None]
