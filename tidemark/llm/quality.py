@@ -1,17 +1,22 @@
 """Operator 9: a compression classifier of text quality.
 
 Two zstandard dictionaries are built, one from good and one from bad labelled
-texts, of passages of ``BLOCK`` bytes spread evenly over each. A text is compressed
-with either, block by block, so that a dictionary tells as much in a long text as
-in a short one; the difference of the compressed sizes, divided by the length of
-the text (both also against compression of the whole without a dictionary, so
-that a text that repeats itself shows), goes through a logistic calibration fitted
-on whole labelled texts that built no dictionary.
+texts, whole. A text is compressed with either, in blocks of ``BLOCK`` bytes, so
+that a dictionary tells as much in a long text as in a short one; the difference
+of the compressed sizes, divided by the length of the text, is its one feature. It
+becomes a score by a logistic calibration (slope and offset) fitted on whole
+labelled texts that built no dictionary.
 
 Bounded sample: at most ``sample`` labelled rows of each label, those with the
 smallest hash of their id, as far as their whole texts keep within ``size`` bytes
-together. Every whole text is scored, in one map without a shuffle. Null and empty
-texts get the score of the empty text.
+together. Every whole text is scored, in one map without a shuffle.
+
+Null and empty texts get the score of the empty text. Long texts are compressed to
+their end. Equal texts get equal scores, repeated rows too. An empty table gives an
+empty result; without labelled rows every score is that of the prior. Labels that
+are neither 0 nor 1, without an id, or that contradict one another for an id teach
+nothing; an id with several rows of text gives each of them. Rows with a null id are
+scored. Other columns are carried as they are; one named like the score is replaced.
 """
 
 from __future__ import annotations
@@ -24,20 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SAMPLE_BYTES, hash_sample, ship, whole_texts
+from .common import SAMPLE_BYTES, batches, cut, hash_sample, ship, whole_texts
 
-#: Bytes of a dictionary, and of the blocks that are compressed with it.
-DICT_BYTES, BLOCK = 112_640, 2048
-#: Blocks of one text that go into a dictionary: long texts don't crowd out others.
-PASSAGES = 4
-LEVEL = 3
+#: Bytes of a dictionary, of the samples it is trained on, and of the blocks that are compressed with it.
+DICT_BYTES, PASSAGE, BLOCK = 112_640, 2048, 256
+#: Optimal parsing: compressed sizes follow the dictionary closely.
+LEVEL = 19
 
 
 class CompressionModel:
     """Scores texts; pickles as its dictionaries and its calibration."""
 
-    def __init__(self, good: bytes, bad: bytes, weights: np.ndarray | None = None, mean: np.ndarray | None = None, scale: np.ndarray | None = None):
-        self.good, self.bad, self.weights, self.mean, self.scale = good, bad, weights, mean, scale
+    def __init__(self, good: bytes, bad: bytes, offset: float = 0.0, slope: float = 0.0):
+        self.good, self.bad, self.offset, self.slope = good, bad, offset, slope
 
     def _start(self) -> None:
         import zstandard as z
@@ -48,33 +52,25 @@ class CompressionModel:
             d = z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_AUTO)
             d.precompute_compress(compression_params=conf)
             self._c.append(z.ZstdCompressor(dict_data=d, compression_params=conf))
-        self._c.append(z.ZstdCompressor(compression_params=conf))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_c"}
 
-    def features(self, texts: list[str | None]) -> np.ndarray:
+    def difference(self, texts: list[str | None]) -> np.ndarray:
+        """How much smaller the good dictionary makes each text than the bad one,
+        for each of its bytes."""
         if not hasattr(self, "_c"):
             self._start()
-        out = np.zeros((len(texts), 5))
+        out = np.zeros(len(texts))
         for i, t in enumerate(texts):
             data = (t or "").encode("utf-8", "replace")
-            n = len(data) + 16
             blocks = [data[a : a + BLOCK] for a in range(0, max(1, len(data)), BLOCK)]
-            g, b = (sum(len(x.compress(p)) for p in blocks) for x in self._c[:2])
-            c = len(self._c[2].compress(data))
-            out[i] = (b - g) / n, (b - g) / (b + g), c / n, min(g, b) / n, np.log(n)
+            good, bad = (sum(len(c.compress(p)) for p in blocks) for c in self._c)
+            out[i] = (bad - good) / (len(data) + 16)
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        x = (self.features(texts) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-np.clip(expand(x) @ self.weights, -30, 30)))
-
-
-def expand(x: np.ndarray) -> np.ndarray:
-    """1, the features, and their squares and products, for a curved boundary."""
-    i, j = np.triu_indices(x.shape[1])
-    return np.column_stack([np.ones(len(x)), x, x[:, i] * x[:, j]])
+        return 1 / (1 + np.exp(-np.clip(self.offset + self.slope * self.difference(texts), -30, 30)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -92,18 +88,11 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w
 
 
-def passages(data: bytes) -> list[bytes]:
-    """Blocks of a text, at most PASSAGES of them, spread evenly over it."""
-    if len(data) <= PASSAGES * BLOCK:
-        return [data[a : a + BLOCK] for a in range(0, len(data), BLOCK)]
-    return [data[a : a + BLOCK] for a in ((len(data) - BLOCK) * i // (PASSAGES - 1) for i in range(PASSAGES))]
-
-
 def dictionary(texts: list[bytes]) -> bytes:
     """A zstandard dictionary of the texts; raw content where there are too few."""
     import zstandard as z
 
-    texts = [p for t in texts for p in passages(t)]
+    texts = [t[a : a + PASSAGE] for t in texts for a in range(0, len(t), PASSAGE)]
     try:
         return z.train_dictionary(min(DICT_BYTES, max(256, sum(map(len, texts)) // 8)), texts).as_bytes()
     except z.ZstdError:
@@ -115,9 +104,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, train, sample: int,
     ``train`` holds, ordered by a hash of the id, and ``size`` bytes of texts: a
     bounded sample on the driver. The weight makes up for labels that it thins out."""
     rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("t")).where(train)
-    known = labels.select(F.col(key), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1)).where(train)
+    known = labels.select(F.col(key), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col(key).isNotNull()).where(train)
+    known = cut(known.groupBy(key).agg(F.min("y").alias("y"), F.max("y").alias("__most")).where("y = __most").drop("__most"))
     total = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    known = known.where(F.col(key).isNotNull())
     pick = hash_sample(known.where(F.col("y") == 0), key, sample).unionByName(hash_sample(known.where(F.col("y") == 1), key, sample))
     chosen = {r[0]: r[1] for r in pick.collect()}
     ids = rows.sparkSession.createDataFrame([(k,) for k in chosen], T.StructType([T.StructField(key, docs.schema[key].dataType)]))
@@ -134,9 +123,11 @@ def fit(rows: list[tuple[str, int, float]]) -> CompressionModel:
     build = data[0::2]
     model = CompressionModel(*(dictionary([t for t, y in build if y == k]) for k in (1, 0)))
     rest = rows[1::2] or [("", 1, 1.0)]
-    x, y, w = model.features([t for t, *_ in rest]), np.array([r[1] for r in rest], dtype=float), np.array([r[2] for r in rest])
-    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    model.weights = logistic(expand((x - model.mean) / model.scale), y, w)
+    x, y, w = model.difference([t for t, *_ in rest]), np.array([r[1] for r in rest], dtype=float), np.array([r[2] for r in rest])
+    mean, scale = float(x.mean()), float(x.std()) + 1e-6
+    offset, slope = logistic(np.column_stack([np.ones(len(x)), (x - mean) / scale]), y, w)
+    model.slope = float(slope / scale)
+    model.offset = float(offset - slope * mean / scale)
     return model
 
 
@@ -154,9 +145,9 @@ def score_texts(docs: DataFrame, model, text: str = "text", name: str = "score")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                s = held.value.score(part.column(at).to_pylist())
+            for a, b in batches(texts := batch.column(at).to_pylist(), 512):
+                part = batch.slice(a, b - a)
+                s = held.value.score(texts[a:b])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=[*columns, name])
 
     src = docs.select(*columns)
