@@ -45,9 +45,13 @@ def ship(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or
-    a temporary one where the session names none (local tests)."""
+    a temporary one where the session names none and runs in one process (tests).
+    A cluster without that setting is refused: its executors would each write to
+    a disk of their own, and what is read back would fall short."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -11,8 +11,16 @@ the most letters in the labelling is the prediction and its share of the letters
 weighed by how clearly its words are its own, is the score.
 
 Bounded sample: at most ``sample`` labelled texts, those with the smallest hash
-of their id, whole, as far as they keep within ``size`` bytes together. Every whole text is labelled, in one
-map without a shuffle. Texts that are null or have no letter get ``und``, 0.
+of their id, whole, as far as they keep within ``size`` bytes together. Every
+whole text is labelled, in one map without a shuffle.
+
+Texts that are null or empty or have no letter get ``und``, 0. Long texts are
+labelled word by word to their end, a word of any length by all its trigrams.
+Ties go to the language that is first by name; repeated rows get the same label.
+An empty table gives an empty result, and a table without labelled texts a model
+whose one language is ``und``. Rows with a null id are labelled, but teach
+nothing. Only the columns named are read or returned, so clashing names of
+others do no harm.
 """
 
 from __future__ import annotations
@@ -60,7 +68,12 @@ def script(word: str) -> int:
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(unicodedata.normalize("NFC", text).lower())
+    """Runs of letters, in lower case. Digits that aren't decimal (fractions,
+    raised or circled ones) are no letters, though the pattern lets them pass."""
+    found = _WORD.findall(unicodedata.normalize("NFC", text).lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def trigrams(word: str) -> list[str]:

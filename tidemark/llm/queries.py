@@ -20,6 +20,11 @@ def _fold(key: str, n: int):
     return F.crc32(F.col(key).cast("string")) % n
 
 
+def _held_out(n: int, fold: int):
+    """A row without an id is in no fold."""
+    return F.coalesce(_fold("doc_id", n) == fold, F.lit(False)).alias("held_out")
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import dedup
 
@@ -38,7 +43,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _read(spark, sf_dir, "documents")
     model = train_langid(docs, _fold("doc_id", 4) != 2)
-    return identify(docs, model).withColumn("held_out", _fold("doc_id", 4) == 2).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(docs, model).select("doc_id", _held_out(4, 2), "lang_pred", "score")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +64,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(df: DataFrame, at: float) -> DataFrame:
-    return df.select("doc_id", (_fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
+    return df.select("doc_id", _held_out(3, 1), "score", (F.col("score") >= at).cast("int").alias("predicted"))
 
 
 def op5_forest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,13 @@ lower case; other bytes of ASCII separate them.
 
 Bounded sample: at most ``sample`` labelled rows of each label, those with the
 smallest hash of their id, as far as their whole texts keep within ``size`` bytes
-together. All whole texts are scored, in one map without a shuffle. Null and empty texts get the
-score of the bias alone.
+together. All whole texts are scored, in one map without a shuffle.
+
+Null and empty texts get the score of the bias alone. Long texts are read to their
+end; a feature counts once however often it stands. Equal texts get equal scores,
+repeated rows too. An empty table gives an empty result; without labelled rows every
+score is 0.5. Which labels teach, null ids and clashing columns: as in the quality
+classifier.
 """
 
 from __future__ import annotations
