@@ -6,14 +6,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import U64, mix
 
-#: Log2 of the bits: bounds that hold for any input (128 KB to 16 MB).
-LEAST, MOST, _BLOCKS = 20, 27, 64
+#: Log2 of the bits: bounds that hold for any input (128 KB to 128 MB).
+LEAST, MOST, _BLOCKS = 20, 30, 64
 
 
 def size_for(n: int) -> int:
@@ -27,27 +27,27 @@ def place(numbers: np.ndarray, log2: int) -> np.ndarray:
 
 def build(numbers: DataFrame, column: str, log2: int) -> np.ndarray:
     """The table of all numbers in a long column: 2**log2 bits as packed bytes.
-    Executors set and merge the bits; only the table reaches the driver."""
+    Numbers are dealt to the blocks of the table; each block is filled by one task,
+    and only the table reaches the driver."""
+    size = (1 << log2) // _BLOCKS
 
-    def fill(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << log2, dtype=bool)
+    def where(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            table[place(batch.column(0).to_numpy(zero_copy_only=False), log2)] = True
-        packed = np.packbits(table).reshape(_BLOCKS, -1)
-        used = np.flatnonzero(packed.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[i].tobytes() for i in used], pa.binary())], names=["block", "bits"])
+            at = np.unique(place(batch.column(0).to_numpy(zero_copy_only=False), log2))
+            yield pa.RecordBatch.from_arrays([pa.array(at // size, pa.int32()), pa.array(at % size, pa.int32())], names=["block", "at"])
 
-    def merge(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fill(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        for pdf in it:
-            for b, x in zip(pdf["block"], pdf["bits"], strict=True):
-                x = np.frombuffer(x, dtype=np.uint8)
-                held[b] = held[b] | x if b in held else x
-        yield pd.DataFrame({"block": list(held), "bits": [x.tobytes() for x in held.values()]}).astype({"block": "int32"})
-
-    merged = numbers.select(column).mapInArrow(fill, "block int, bits binary").repartition(_BLOCKS // 4, "block").mapInPandas(merge, "block int, bits binary")
-    out = np.zeros((_BLOCKS, (1 << log2) // 8 // _BLOCKS), dtype=np.uint8)
-    for r in merged.collect():
+        for batch in it:
+            block, at = (batch.column(i).to_numpy() for i in (0, 1))
+            for b in np.unique(block).tolist():
+                held.setdefault(b, np.zeros(size, dtype=bool))[at[block == b]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([np.packbits(x).tobytes() for x in held.values()], pa.binary())], names=["block", "bits"])
+
+    n = _BLOCKS // 4
+    filled = numbers.select(column).mapInArrow(where, "block int, at int").repartitionById(n, F.col("block") % n).mapInArrow(fill, "block int, bits binary")
+    out = np.zeros((_BLOCKS, size // 8), dtype=np.uint8)
+    for r in filled.collect():
         out[r["block"]] = np.frombuffer(r["bits"], dtype=np.uint8)
     return out.ravel()
 

@@ -6,24 +6,30 @@ stands, word for word, anywhere else as well.
 1. *Recurring phrases.* Each window names the phrase of ``PHRASE`` words in it
    with the smallest hash, so equal windows name equal phrases. Windows in a row
    that name the same place form a *region*. Phrases named by two regions or more
-   are kept as a bit table of bounded size.
+   are kept as a bit table of bounded size, which spares most other regions the
+   way; beyond its bound it lets more of them through, and results stay the same.
 2. *Confirming.* Regions whose phrase recurs are written out once, and equal ones
-   are counted. A region that stands twice is repeated as a whole; of the others,
-   windows are counted one by one, over all regions, and those that stand twice
-   are confirmed. Copies are combined before they are shuffled, and a phrase
-   that very many regions share is no group anywhere.
-3. *Automata.* Runs of confirmed windows are the recurring passages. They are
-   dealt by phrase to shards, each shard compiles Aho-Corasick automata of at
-   most ``AUTOMATON`` regions' passages, and the regions that name the shard's
-   phrases stream through them: every occurrence is located there, as a text
-   without such a region holds no confirmed window.
+   are counted. Their windows are counted by a 128-bit digest of their words, over
+   all regions; of each window that stands twice or more one place is kept. These
+   are aggregates, combined before the shuffle: a window or a phrase that very many
+   regions share is no group anywhere. Runs of the kept places are the passages.
+3. *Automata.* Passages and all regions that name their phrases are dealt by
+   phrase to shards; a phrase with more than ``HOT`` passages or regions is dealt in
+   a grid, so that none is a group. Each shard compiles one Aho-Corasick automaton,
+   over words, of all windows of its passages, and the regions stream through it:
+   what goes is what it locates, word for word, in each of them.
 4. *Removal.* Located spans are gathered by document, and only documents with
    spans are shuffled.
 
-Windows are compared by 64-bit hashes of their words when counted, and by the
-words themselves in the automata. Null texts have no words. Rows are told apart
-by id and text, so null and repeated ids are no hindrance; equal rows count as
-repeats of each other. Texts shorter than the window are kept whole.
+A document is streamed as its regions, and through the automata of its phrases
+alone: streaming it through all of them would cost documents times shards.
+
+Null and empty texts have no words; texts shorter than the window are kept whole;
+long ones are read to their end. Rows are told apart by id and text, so null and
+repeated ids are no hindrance; equal rows count as repeats of each other. An empty
+table gives an empty result. Columns are taken by name from the table alone, and
+those made on the way can't clash with them: ``keep`` may name any of its columns
+but n_words, n_removed, kept, original and kept_sha256.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +48,8 @@ from . import bits
 from .common import U64, Words, batches, cut, mix, parts, ship
 
 PHRASE = 12
-#: Regions whose passages one automaton holds at most.
-AUTOMATON = 2000
+#: Regions that stream through one shard's automaton, about, and regions or passages of one phrase in a shard.
+AUTOMATON, HOT = 2000, 1000
 _STEP = U64(0xD6E8FEB86659FD93)
 
 
@@ -131,68 +137,109 @@ def _regions(docs: DataFrame, text: str, key: str, width: int, table, log2: int)
 
 
 def _windows(rows: DataFrame, width: int) -> DataFrame:
-    """(hash, region, place, stands) of the windows of each distinct region."""
+    """(h1, h2, stands, rid, place) of the windows of each distinct region."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
-                w = Words(part.column(1).to_pylist())
-                each = sliding_hash(w.hash, width)
+            texts = batch.column(1).to_pylist()
+            for a, b in batches(texts, 2000):
+                w = Words(texts[a:b])
+                h = w.hash
+                one, two = sliding_hash(h, width), sliding_hash(mix(h ^ U64(0xA0761D6478BD642F)), width)
                 n = np.maximum(np.diff(w.first) - width + 1, 0)
                 place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(w.first[:-1], n) + place
-                who = np.repeat(np.arange(part.num_rows), n)
-                yield pa.RecordBatch.from_arrays([pa.array(each[at].view(np.int64)), part.column(0).take(pa.array(who)), pa.array(place.astype(np.int32)), part.column(2).take(pa.array(who))], names=["hash", "region", "place", "stands"])
+                who = pa.array(np.repeat(np.arange(a, b), n))
+                yield pa.RecordBatch.from_arrays([pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), batch.column(2).take(who), batch.column(0).take(who), pa.array(place.astype(np.int32))], names=["h1", "h2", "stands", "rid", "place"])
+
+    return rows.select("rid", "words", "stands").mapInArrow(run, "h1 bigint, h2 bigint, stands bigint, rid bigint, place int")
+
 
-    return rows.select("region", "words", "stands").mapInArrow(run, "hash bigint, region binary, place int, stands bigint")
+def _passages(rows: DataFrame, width: int) -> DataFrame:
+    """(phrase, words): the runs of windows that ``mask`` marks in each region."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            phrase, said = [], []
+            for p, text, mask in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                words, place = text.split(" "), 0
+                while place <= len(words) - width:
+                    if mask >> place & 1:
+                        stop = place
+                        while stop < len(words) - width and mask >> (stop + 1) & 1:
+                            stop += 1
+                        phrase.append(p)
+                        said.append(" ".join(words[place : stop + width]))
+                        place = stop
+                    place += 1
+            yield pa.RecordBatch.from_arrays([pa.array(phrase, pa.int64()), pa.array(said, pa.string())], names=["phrase", "words"])
+
+    return rows.select("phrase", "words", "mask").mapInArrow(run, "phrase bigint, words string")
 
 
 def _locate(rows: DataFrame, width: int) -> DataFrame:
-    """(region, spans) of confirmed regions, by automata over their passages."""
+    """(region, a, b): the spans of words that the automata find, of rows (shard,
+    region, words) in order of shard; rows without a region are passages, and first."""
 
-    def shard(held: list[tuple]) -> pa.RecordBatch:
+    def machine_of(passages: list[str]):
         import ahocorasick
 
-        machine = ahocorasick.Automaton()
-        for _, text, mask in held:
-            starts = [0, *[i + 1 for i, c in enumerate(text) if c == " "], len(text) + 1]
-            place, n = 0, len(starts) - width
-            while place < n:
-                if mask >> place & 1:
-                    stop = place
-                    while stop + 1 < n and mask >> (stop + 1) & 1:
-                        stop += 1
-                    passage = f" {text[starts[place] : starts[stop + width] - 1]} "
-                    machine.add_word(passage, len(passage))
-                    place = stop
-                place += 1
-        spans = []
-        if len(machine):
-            machine.make_automaton()
-        for _, text, _ in held:
-            covered: list[list[int]] = []
-            for end, size in machine.iter(f" {text} ") if len(machine) else ():
-                a = text.count(" ", 0, max(0, end - size + 1))  # the padding makes offsets one larger
-                b = text.count(" ", 0, end - 1) + 1
-                covered.append([a, b])
-            spans.append(covered)
-        return pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.binary()), pa.array(spans, pa.list_(pa.list_(pa.int32())))], names=["region", "spans"])
+        known: dict[str, int] = {}
+        machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for p in passages:
+            ids = tuple([known.setdefault(x, len(known) + 1) for x in p.split(" ")])
+            for k in range(len(ids) - width + 1):
+                machine.add_word(ids[k : k + width], 1)
+        machine.make_automaton()
+        return machine, known
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        last = None
+        now, passages, machine, known = None, [], None, {}
         for batch in it:
-            for r, p, text, mask in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                if len(held) >= AUTOMATON and (p != last or len(held) >= 2 * AUTOMATON):
-                    yield shard(held)
-                    held = []
-                held.append((r, text, mask))
-                last = p
-        if held:
-            yield shard(held)
-
-    return rows.select("region", "phrase", "words", "mask").mapInArrow(run, "region binary, spans array<array<int>>")
+            region, first, last = [], [], []
+            for shard, r, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if shard != now:
+                    now, passages, machine = shard, [], None
+                if r is None:
+                    passages.append(text)
+                    continue
+                if machine is None:
+                    if not passages:
+                        continue
+                    machine, known = machine_of(passages)
+                a = b = -1
+                for end, _ in machine.iter(tuple([known.get(x, 0) for x in text.split(" ")])):
+                    if end > b:
+                        if b >= 0:
+                            region.append(r)
+                            first.append(a)
+                            last.append(b)
+                        a = end - width + 1
+                    b = end + 1
+                if b >= 0:
+                    region.append(r)
+                    first.append(a)
+                    last.append(b)
+            if region:
+                yield pa.RecordBatch.from_arrays([pa.array(region, pa.binary()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["region", "a", "b"])
+
+    return rows.select("shard", "region", "words").mapInArrow(run, "region binary, a int, b int")
+
+
+def _deal(passages: DataFrame, regions: DataFrame, n_shards: int, n_parts: int) -> DataFrame:
+    """(shard, region, words) in order of shard, passages (region null) first. A hot
+    phrase lies in a grid of pieces of its passages and pieces of its regions."""
+    sizes = passages.groupBy("phrase").agg(F.count(F.lit(1)).alias("k")).join(regions.groupBy("phrase").agg(F.count(F.lit(1)).alias("m")), "phrase")
+    grid = cut(sizes.select("phrase", F.ceil(F.col("k") / HOT).cast("int").alias("across"), F.ceil(F.col("m") / HOT).cast("int").alias("down")))
+    hot = cut(grid.where("across > 1 or down > 1"))
+    one = F.lit(1)
+    placed = lambda df: df.join(hot, "phrase", "left").withColumns({"across": F.coalesce("across", one), "down": F.coalesce("down", one)})
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    deal = lambda text, n: F.pmod(F.xxhash64(text), F.col(n)).cast("int")
+    left = placed(passages).select("phrase", F.lit(None).cast("binary").alias("region"), "words", deal("words", "across").alias("i"), every("down").alias("j"))
+    right = placed(regions.join(grid.select("phrase"), "phrase", "left_semi")).select("phrase", "region", "words", every("across").alias("i"), deal("region", "down").alias("j"))
+    both = left.unionByName(right).select(F.pmod(F.xxhash64("phrase", "i", "j"), F.lit(n_shards)).cast("int").alias("shard"), "region", "words")
+    return both.repartitionById(n_parts, F.col("shard") % n_parts).sortWithinPartitions("shard", F.asc_nulls_first("region"))
 
 
 def repeated_spans(docs: DataFrame, width: int = 35, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -206,16 +253,15 @@ def repeated_spans(docs: DataFrame, width: int = 35, text: str = "text", key: st
     log2 = bits.size_for(recurring.count())
     table = spark.sparkContext.broadcast(bits.build(recurring, "phrase", log2))
     found = cut(_regions(docs, text, key, width, table, log2))
-    distinct = found.groupBy("region").agg(F.count(F.lit(1)).alias("stands"), F.max("n").alias("n"), F.max("phrase").alias("phrase"), F.max("words").alias("words"))
-    distinct = cut(distinct)
-    twice = _windows(distinct, width).withColumn("all", F.sum("stands").over(Window.partitionBy("hash"))).where("all >= 2 and stands = 1")
-    mask = twice.groupBy("region").agg(F.expr("bit_or(shiftleft(1L, place))").alias("some"))
-    whole = F.expr("case when n >= 63 then -1L else shiftleft(1L, n) - 1 end")
-    confirmed = distinct.where("stands >= 2").withColumn("mask", whole).unionByName(distinct.where("stands = 1").join(mask, "region").withColumnRenamed("some", "mask")).select("region", "phrase", "words", "mask")
-    located = _locate(confirmed.repartition(max(parts(spark), 2), "phrase").sortWithinPartitions("phrase"), width)
-    spans = found.select("k1", key, "first", "region").join(located, "region")
-    spans = spans.select("k1", key, F.transform("spans", lambda s: F.struct((s[0] + F.col("first")).alias("a"), (s[1] + F.col("first")).alias("b"))).alias("spans"))
-    return spans.groupBy("k1", key).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    distinct = found.groupBy("region").agg(F.count(F.lit(1)).alias("stands"), F.max("phrase").alias("phrase"), F.max("words").alias("words"))
+    distinct = cut(distinct.withColumn("rid", F.monotonically_increasing_id()))
+    places = _windows(distinct, width).groupBy("h1", "h2").agg(F.sum("stands").alias("stands"), F.min("rid").alias("rid"), F.min_by("place", "rid").alias("place")).where("stands >= 2")
+    masks = places.groupBy("rid").agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"))
+    passages = cut(_passages(distinct.join(masks, "rid"), width))
+    n_shards = max(1, distinct.count() // AUTOMATON)
+    located = _locate(_deal(passages, distinct, n_shards, min(n_shards, 4 * parts(spark))), width)
+    spans = found.select("k1", key, "first", "region").join(located, "region").select("k1", key, F.struct((F.col("a") + F.col("first")).alias("a"), (F.col("b") + F.col("first")).alias("b")).alias("span"))
+    return spans.groupBy("k1", key).agg(F.collect_set("span").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, width: int = 35, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] | None = None, digests: bool = False) -> DataFrame:
