@@ -35,7 +35,9 @@ but n_words, n_removed, kept, original and kept_sha256.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,7 @@ from .common import U64, Words, batches, cut, mix, parts, ship
 PHRASE = 12
 #: Regions that stream through one shard's automaton, about, and regions or passages of one phrase in a shard.
 AUTOMATON, HOT = 2000, 1000
+_BLANK = re.compile(" ")
 _STEP = U64(0xD6E8FEB86659FD93)
 
 
@@ -181,15 +184,22 @@ def _locate(rows: DataFrame, width: int) -> DataFrame:
     """(region, a, b): the spans of words that the automata find, of rows (shard,
     region, words) in order of shard; rows without a region are passages, and first."""
 
+    step = next(g for g in range(8, 0, -1) if width % g == 0)
+
+    def grams(text: str) -> list[str]:
+        """Each run of ``step`` words of a text."""
+        at = [0, *[m.end() for m in _BLANK.finditer(text)], len(text) + 1]
+        return [text[x : y - 1] for x, y in zip(at, at[step:])]
+
     def machine_of(passages: list[str]):
         import ahocorasick
 
         known: dict[str, int] = {}
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         for p in passages:
-            ids = tuple([known.setdefault(x, len(known) + 1) for x in p.split(" ")])
-            for k in range(len(ids) - width + 1):
-                machine.add_word(ids[k : k + width], 1)
+            ids = [known.setdefault(x, len(known) + 1) for x in grams(p)]
+            for k in range(len(ids) - width + step):
+                machine.add_word(tuple(ids[k : k + width : step]), 1)
         machine.make_automaton()
         return machine, known
 
@@ -207,19 +217,17 @@ def _locate(rows: DataFrame, width: int) -> DataFrame:
                     if not passages:
                         continue
                     machine, known = machine_of(passages)
-                a = b = -1
-                for end, _ in machine.iter(tuple([known.get(x, 0) for x in text.split(" ")])):
-                    if end > b:
-                        if b >= 0:
-                            region.append(r)
-                            first.append(a)
-                            last.append(b)
-                        a = end - width + 1
-                    b = end + 1
-                if b >= 0:
-                    region.append(r)
-                    first.append(a)
-                    last.append(b)
+                ids = list(map(known.get, grams(text), repeat(0)))
+                if not any(ids):
+                    continue
+                met = sorted(p + step * (end + 1) - width for p in range(step) for end, _ in machine.iter(tuple(ids[p::step])))
+                b = -1
+                for a in met:
+                    if a > b:
+                        region.append(r)
+                        first.append(a)
+                        last.append(0)
+                    b = last[-1] = a + width
             if region:
                 yield pa.RecordBatch.from_arrays([pa.array(region, pa.binary()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["region", "a", "b"])
 
