@@ -80,15 +80,22 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_power = np.ones(1, dtype=np.uint64)
+_power = {1: np.ones(1, dtype=np.uint64), -1: np.ones(1, dtype=np.uint64)}
+_factor = {1: _BASE, -1: U64(pow(int(_BASE), -1, 2**64))}
 
 
-def powers(n: int) -> np.ndarray:
-    """_BASE to the powers 0..n-1, modulo 2**64."""
-    global _power
-    while len(_power) < n:
-        _power = np.concatenate([_power, _power * (_power[-1:] * _BASE)])
-    return _power[:n]
+def powers(n: int, sign: int = 1) -> np.ndarray:
+    """_BASE to the powers 0..n-1 (or 0..1-n with sign -1), modulo 2**64."""
+    while len(_power[sign]) < n:
+        _power[sign] = np.concatenate([_power[sign], _power[sign] * (_power[sign][-1:] * _factor[sign])])
+    return _power[sign][:n]
+
+
+def run_hash(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of h[start:stop] for each start and stop (none before start), by sums
+    of powers: the same for equal runs wherever they stand."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(len(h)), dtype=np.uint64)])
+    return mix((total[stop] - total[start]) * powers(len(h) + 1, -1)[start] + (stop - start).astype(np.uint64))
 
 
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:

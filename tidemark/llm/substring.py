@@ -47,23 +47,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bits
-from .common import U64, Words, batches, cut, mix, parts, ship
+from .common import U64, Words, batches, cut, mix, parts, run_hash, ship
 
 PHRASE = 12
-#: Regions that stream through one shard's automaton, about, and regions or passages of one phrase in a shard.
-AUTOMATON, HOT = 2000, 1000
-_BLANK = re.compile(" ")
-_STEP = U64(0xD6E8FEB86659FD93)
+#: Regions that stream through one shard's automaton, about, and regions or passages of
+#: one phrase in a shard. Small automata are far faster: the search for a letter below
+#: the root takes time in proportion to how many there are.
+AUTOMATON, HOT = 64, 512
+_BLANK = re.compile(b" ")
 
 
 def sliding_hash(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of each n consecutive entries (len(h) - n + 1 of them)."""
-    if len(h) < n:
-        return np.zeros(0, dtype=np.uint64)
-    out = np.zeros(len(h) - n + 1, dtype=np.uint64)
-    for k in range(n):
-        out = out * _STEP + h[k : len(h) - n + 1 + k]
-    return mix(out)
+    start = np.arange(max(0, len(h) - n + 1))
+    return run_hash(h, start, start + n)
+
+
+def second(h: np.ndarray) -> np.ndarray:
+    """Other hashes of the same words, for digests of 128 bits."""
+    return mix(h ^ U64(0xA0761D6478BD642F))
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -110,33 +112,32 @@ def _regions(docs: DataFrame, text: str, key: str, width: int, table, log2: int)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in it:
             texts = batch.column(2).to_pylist()
             for a, b in batches(texts):
-                w = Words(texts[a:b])
+                w = Words([b" ".join((t or "").encode("utf-8", "replace").split()) for t in texts[a:b]])
                 doc, first, n, phrase = regions(w, width)
                 hit = bits.holds(table.value, phrase, log2)
                 doc, first, n, phrase = doc[hit], first[hit], n[hit], phrase[hit]
-                keys, said, raw = [], [], w.raw
-                for x, y in zip(w.start[first].tolist(), w.end[first + n + width - 2].tolist(), strict=True):
-                    part = b" ".join(raw[x:y].split())
-                    k = hashlib.blake2b(part, digest_size=16).digest()
-                    keys.append(k)
-                    if k in seen:
-                        said.append(None)
-                    else:
+                stop = first + n + width - 1
+                r1, r2 = run_hash(w.hash, first, stop), run_hash(second(w.hash), first, stop)
+                said: list[bytes | None] = [None] * len(r1)
+                _, at, same = np.unique(r1, return_index=True, return_inverse=True)
+                at = np.concatenate([at, np.flatnonzero(r2 != r2[at][same])])  # the latter: equal in half the digest only
+                for k, i, x, y in zip(zip(r1[at].tolist(), r2[at].tolist(), strict=True), at.tolist(), w.start[first[at]].tolist(), w.end[stop[at] - 1].tolist(), strict=True):
+                    if k not in seen:
                         seen.add(k)
-                        said.append(part.decode("utf-8", "replace"))
+                        said[i] = w.raw[x:y]
                 if len(seen) > 300_000:
                     seen.clear()
                 at = pa.array(a + doc)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array((first - w.first[doc]).astype(np.int32)), pa.array(phrase.view(np.int64)), pa.array(keys, pa.binary()), pa.array(n.astype(np.int32)), pa.array(said, pa.string())],
-                    names=["k1", key, "first", "phrase", "region", "n", "words"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array((first - w.first[doc]).astype(np.int32)), pa.array(phrase.view(np.int64)), pa.array(r1.view(np.int64)), pa.array(r2.view(np.int64)), pa.array(said, pa.binary())],
+                    names=["k1", key, "first", "phrase", "r1", "r2", "words"],
                 )
 
-    return docs.select(F.xxhash64(text).alias("k1"), key, text).mapInArrow(run, f"k1 bigint, `{key}` {kind}, first int, phrase bigint, region binary, n int, words string")
+    return docs.select(F.xxhash64(text).alias("k1"), key, text).mapInArrow(run, f"k1 bigint, `{key}` {kind}, first int, phrase bigint, r1 bigint, r2 bigint, words binary")
 
 
 def _windows(rows: DataFrame, width: int) -> DataFrame:
@@ -148,7 +149,7 @@ def _windows(rows: DataFrame, width: int) -> DataFrame:
             for a, b in batches(texts, 2000):
                 w = Words(texts[a:b])
                 h = w.hash
-                one, two = sliding_hash(h, width), sliding_hash(mix(h ^ U64(0xA0761D6478BD642F)), width)
+                one, two = sliding_hash(h, width), sliding_hash(second(h), width)
                 n = np.maximum(np.diff(w.first) - width + 1, 0)
                 place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(w.first[:-1], n) + place
@@ -165,36 +166,36 @@ def _passages(rows: DataFrame, width: int) -> DataFrame:
         for batch in it:
             phrase, said = [], []
             for p, text, mask in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                words, place = text.split(" "), 0
+                words, place = text.split(b" "), 0
                 while place <= len(words) - width:
                     if mask >> place & 1:
                         stop = place
                         while stop < len(words) - width and mask >> (stop + 1) & 1:
                             stop += 1
                         phrase.append(p)
-                        said.append(" ".join(words[place : stop + width]))
+                        said.append(b" ".join(words[place : stop + width]))
                         place = stop
                     place += 1
-            yield pa.RecordBatch.from_arrays([pa.array(phrase, pa.int64()), pa.array(said, pa.string())], names=["phrase", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(phrase, pa.int64()), pa.array(said, pa.binary())], names=["phrase", "words"])
 
-    return rows.select("phrase", "words", "mask").mapInArrow(run, "phrase bigint, words string")
+    return rows.select("phrase", "words", "mask").mapInArrow(run, "phrase bigint, words binary")
 
 
 def _locate(rows: DataFrame, width: int) -> DataFrame:
-    """(region, a, b): the spans of words that the automata find, of rows (shard,
-    region, words) in order of shard; rows without a region are passages, and first."""
+    """(r1, r2, a, b): the spans of words that the automata find, of rows (shard,
+    r1, r2, words) in order of shard; rows without r1 are passages, and come first."""
 
     step = next(g for g in range(8, 0, -1) if width % g == 0)
 
-    def grams(text: str) -> list[str]:
+    def grams(text: bytes) -> list[bytes]:
         """Each run of ``step`` words of a text."""
         at = [0, *[m.end() for m in _BLANK.finditer(text)], len(text) + 1]
         return [text[x : y - 1] for x, y in zip(at, at[step:])]
 
-    def machine_of(passages: list[str]):
+    def machine_of(passages: list[bytes]):
         import ahocorasick
 
-        known: dict[str, int] = {}
+        known: dict[bytes, int] = {}
         machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         for p in passages:
             ids = [known.setdefault(x, len(known) + 1) for x in grams(p)]
@@ -206,8 +207,8 @@ def _locate(rows: DataFrame, width: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, passages, machine, known = None, [], None, {}
         for batch in it:
-            region, first, last = [], [], []
-            for shard, r, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            found, first, last = [], [], []
+            for i, (shard, r, text) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True)):
                 if shard != now:
                     now, passages, machine = shard, [], None
                 if r is None:
@@ -224,18 +225,19 @@ def _locate(rows: DataFrame, width: int) -> DataFrame:
                 b = -1
                 for a in met:
                     if a > b:
-                        region.append(r)
+                        found.append(i)
                         first.append(a)
                         last.append(0)
                     b = last[-1] = a + width
-            if region:
-                yield pa.RecordBatch.from_arrays([pa.array(region, pa.binary()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["region", "a", "b"])
+            if found:
+                at = pa.array(found)
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["r1", "r2", "a", "b"])
 
-    return rows.select("shard", "region", "words").mapInArrow(run, "region binary, a int, b int")
+    return rows.select("shard", "r1", "r2", "words").mapInArrow(run, "r1 bigint, r2 bigint, a int, b int")
 
 
 def _deal(passages: DataFrame, regions: DataFrame, n_shards: int, n_parts: int) -> DataFrame:
-    """(shard, region, words) in order of shard, passages (region null) first. A hot
+    """(shard, r1, r2, words) in order of shard, passages (r1 null) first. A hot
     phrase lies in a grid of pieces of its passages and pieces of its regions."""
     sizes = passages.groupBy("phrase").agg(F.count(F.lit(1)).alias("k")).join(regions.groupBy("phrase").agg(F.count(F.lit(1)).alias("m")), "phrase")
     grid = cut(sizes.select("phrase", F.ceil(F.col("k") / HOT).cast("int").alias("across"), F.ceil(F.col("m") / HOT).cast("int").alias("down")))
@@ -244,10 +246,10 @@ def _deal(passages: DataFrame, regions: DataFrame, n_shards: int, n_parts: int)
     placed = lambda df: df.join(hot, "phrase", "left").withColumns({"across": F.coalesce("across", one), "down": F.coalesce("down", one)})
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     deal = lambda text, n: F.pmod(F.xxhash64(text), F.col(n)).cast("int")
-    left = placed(passages).select("phrase", F.lit(None).cast("binary").alias("region"), "words", deal("words", "across").alias("i"), every("down").alias("j"))
-    right = placed(regions.join(grid.select("phrase"), "phrase", "left_semi")).select("phrase", "region", "words", every("across").alias("i"), deal("region", "down").alias("j"))
-    both = left.unionByName(right).select(F.pmod(F.xxhash64("phrase", "i", "j"), F.lit(n_shards)).cast("int").alias("shard"), "region", "words")
-    return both.repartitionById(n_parts, F.col("shard") % n_parts).sortWithinPartitions("shard", F.asc_nulls_first("region"))
+    left = placed(passages).select("phrase", F.lit(None).cast("bigint").alias("r1"), F.lit(None).cast("bigint").alias("r2"), "words", deal("words", "across").alias("i"), every("down").alias("j"))
+    right = placed(regions.join(grid.select("phrase"), "phrase", "left_semi")).select("phrase", "r1", "r2", "words", every("across").alias("i"), deal("r1", "down").alias("j"))
+    both = left.unionByName(right).select(F.pmod(F.xxhash64("phrase", "i", "j"), F.lit(n_shards)).cast("int").alias("shard"), "r1", "r2", "words")
+    return both.repartitionById(n_parts, F.col("shard") % n_parts).sortWithinPartitions("shard", F.asc_nulls_first("r1"))
 
 
 def repeated_spans(docs: DataFrame, width: int = 35, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -261,14 +263,14 @@ def repeated_spans(docs: DataFrame, width: int = 35, text: str = "text", key: st
     log2 = bits.size_for(recurring.count())
     table = spark.sparkContext.broadcast(bits.build(recurring, "phrase", log2))
     found = cut(_regions(docs, text, key, width, table, log2))
-    distinct = found.groupBy("region").agg(F.count(F.lit(1)).alias("stands"), F.max("phrase").alias("phrase"), F.max("words").alias("words"))
+    distinct = found.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("stands"), F.max("phrase").alias("phrase"), F.max("words").alias("words"))
     distinct = cut(distinct.withColumn("rid", F.monotonically_increasing_id()))
     places = _windows(distinct, width).groupBy("h1", "h2").agg(F.sum("stands").alias("stands"), F.min("rid").alias("rid"), F.min_by("place", "rid").alias("place")).where("stands >= 2")
     masks = places.groupBy("rid").agg(F.expr("bit_or(shiftleft(1L, place))").alias("mask"))
     passages = cut(_passages(distinct.join(masks, "rid"), width))
     n_shards = max(1, distinct.count() // AUTOMATON)
     located = _locate(_deal(passages, distinct, n_shards, min(n_shards, 4 * parts(spark))), width)
-    spans = found.select("k1", key, "first", "region").join(located, "region").select("k1", key, F.struct((F.col("a") + F.col("first")).alias("a"), (F.col("b") + F.col("first")).alias("b")).alias("span"))
+    spans = found.select("k1", key, "first", "r1", "r2").join(located, ["r1", "r2"]).select("k1", key, F.struct((F.col("a") + F.col("first")).alias("a"), (F.col("b") + F.col("first")).alias("b")).alias("span"))
     return spans.groupBy("k1", key).agg(F.collect_set("span").alias("spans"))
 
 
