@@ -2,16 +2,19 @@
 
 Documents are tokenised, closed by an end id and cut into pieces of ``capacity``
 ids only where longer. Full pieces are sequences of their own. What is left, at
-most one shorter piece a document, is dealt by a hash of its content to shards
-of about ``SHARD`` pieces; each shard packs its pieces longest first, and puts
+most one shorter piece a document, is dealt by a hash of its row to shards
+of about ``SHARD`` pieces (equal rows too fall into different ones); each shard packs its pieces longest first, and puts
 each where the sum over residual gaps of the squared number of open bins that
 gap becomes smallest; a bin is opened only where none has room, as pieces come
 longest first (with opening among the choices the same pieces needed 0.4 % more
 sequences than the lower bound; so they meet it). A shard keeps counts by gap and sizes alone, so its memory is
 bounded, and it leaves only its few last bins part empty.
 
-Null texts are empty: they hold the end id only. Rows whose id is null or
-repeated are packed like any other. No row is dropped.
+Null and empty texts hold the end id only. Long texts are cut into as many pieces
+as they need. Rows whose id is null or repeated, equal rows too, are packed like any
+other, each by itself; ties between gaps go to the fuller bin. No row is dropped; an
+empty table gives an empty result. Only the id and the text are read, and the
+result has its own columns, so clashing names of others do no harm.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from .bpe import drops_space, shared_memo
 from .common import cut, parts, ship
 
 #: Pieces that one shard packs, about.
-SHARD = 8192
+SHARD = 4096
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,8 +74,10 @@ def pieces(docs: DataFrame, path: str, capacity: int, text: str, key: str, end_i
         whole = not drops_space(t)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in it:
+            texts = batch.column(1)
             out: list[tuple] = []
-            for d, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for d, s in zip(batch.column(0).to_pylist(), texts, strict=True):
+                s = s.as_py()
                 ids = (np.asarray(t.encode(s or "", add_special_tokens=False).ids, dtype="<u4").tobytes() if whole else memo.ids(s or "")) + end
                 for p, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
@@ -92,7 +97,9 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", k
     full = cutted.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     short = cutted.where(F.col("length") < capacity)
     n = max(1, -(-short.count() // SHARD))
-    shard = F.pmod(F.xxhash64(key, "ids_crc32", "length", "piece"), F.lit(n)).cast("int")
+    # the row's place in the table just written tells equal rows apart
+    shard = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    n_parts = min(n, 4 * parts(spark))
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Partitions hold whole shards, in order of shard."""
@@ -118,5 +125,5 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, text: str = "text", k
             yield packed(pa.Table.from_batches(held), int(now))
 
     schema = T.StructType([*cutted.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    placed = short.withColumn("shard", shard).repartition(min(n, 4 * parts(spark)), "shard").sortWithinPartitions("shard", "length", key, "piece", "ids_crc32").mapInArrow(place, schema)
+    placed = short.withColumn("shard", shard).repartitionById(n_parts, F.col("shard") % n_parts).sortWithinPartitions("shard", "length", key, "piece", "ids_crc32").mapInArrow(place, schema)
     return full.unionByName(placed)
