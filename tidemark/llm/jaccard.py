@@ -12,18 +12,26 @@ x, y of members with centres a, b is settled by the triangle inequality of the
 Jaccard distance, D(x, y) >= D(a, b) - d(x) - d(y), so only centres are compared
 and members only where that leaves the answer open.
 
-*Block-skipping lists.* Candidate pairs of centres come from index lists: each
-document enters the lists of its set's prefix (so many of its elements, rarest
-first, that sets similar enough must share ``SHARE`` of them). Lists are sorted by set size and
-position, and for each entry only the block whose sizes can still match is
-visited; within it entries whose positions leave too little room are skipped.
+*Block-skipping lists.* Candidate pairs come from index lists: each document
+enters the lists of its set's prefix (so many of its elements, rarest first, that
+sets similar enough must share one of them; a set so small that it links with
+equal ones only enters none). Lists are sorted by set size and position. A list is
+visited by blocks of equal size: two blocks whose sizes can't match are skipped,
+and so is what stands in a block at positions that leave too little room for the
+overlap that these sizes need. What is left is told apart by bitmaps of 256 bits,
+one parity for each: a pair that links differs in no more bits than elements. Pairs
+leave in chunks, so memory doesn't follow a list's length, and a list of more than
+``HOT`` documents is dealt as a grid of its pieces.
 Rarity is told by a table of ``2**SKETCH`` counters over the shingles of all
 documents (bounded; a common order is all that exactness needs), which keeps
 passages and lines that very many documents share out of the prefixes.
 
-Null texts and texts without words have empty sets and link with nothing: their
-component is their own id. A null id is in no component (null). Rows that share
-an id are one document with the links of each of them.
+Null and empty texts and texts without words have empty sets and link with nothing:
+their component is their own id. Long texts give all their shingles. Equal texts
+have equal sets and link. A null id is in no component (null). Rows that share an
+id are one document with the links of each of them. An empty table gives an empty
+result. Only the id and the text are read, so clashing names of other columns do
+no harm.
 """
 
 from __future__ import annotations
@@ -41,8 +49,11 @@ from . import bits
 from .common import U64, Words, batches, cut, mix, parts, ship
 
 SKETCH, _BLOCKS = 20, 64
-#: Elements that the prefixes of a pair must share (fewer where a link needs fewer).
-SHARE = 3
+#: Documents in a list beyond which it is dealt as a grid, and in one that is visited with others at once.
+HOT, SMALL = 16_384, 12
+#: Pairs looked at together.
+CHUNK = 500_000
+_BITS = ["b0", "b1", "b2", "b3"]
 
 
 def shingle_sets(texts: list, n: int) -> Iterator[np.ndarray]:
@@ -72,18 +83,33 @@ def least_overlap(x: int, y: int, percent: int) -> int:
     return -(-percent * (x + y) // (100 + percent))
 
 
+def prefix_size(x: int, percent: int) -> int:
+    """How many elements of a set of x, in the common order, the lists hold: a set
+    that links with it shares one of them. 0: only equal sets link with it."""
+    least = -(-percent * x // 100)
+    if least == x and 100 * x // percent == x and least_overlap(x, x, percent) == x:
+        return 0
+    return x - least + 1
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """256 bits: for each, whether an odd number of elements falls to it."""
+    at = np.bincount(((s >> U64(8)) & U64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(at.astype(np.uint8)).view(np.int64)
+
+
 def _profiles(docs: DataFrame, text: str, key: str, n: int) -> DataFrame:
-    """A row for each document (id, size, set's digest, two minimum hashes, and
-    a signature of 16 bytes, one from each sixteenth of the hashes' range), and
-    rows with the partition's counters (block, counts)."""
+    """A row for each document (id, size, set's digest, two minimum hashes, a
+    signature of 16 bytes, one from each sixteenth of the hashes' range, and the
+    parities), and rows with the partition's counters (block, counts)."""
     sixteenths = (np.arange(16, dtype=np.uint64)) << U64(60)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "size", "same", "m1", "m2", "sig", "block", "counts"]
+        names = ["id", "size", "same", "m1", "m2", "sig", *_BITS, "block", "counts"]
         counter = np.zeros(1 << SKETCH, dtype=np.uint32)
         some = False
         for batch in it:
-            ids, size, same, m1, m2, sig, held = batch.column(0), [], [], [], [], [], []
+            ids, size, same, m1, m2, sig, odd, held = batch.column(0), [], [], [], [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), n):
                 size.append(len(s))
                 same.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -91,18 +117,22 @@ def _profiles(docs: DataFrame, text: str, key: str, n: int) -> DataFrame:
                 m1.append(int(s[0].view(np.int64)) if len(s) else None)
                 m2.append(int(s[at[8]].view(np.int64)) if len(s) else None)
                 sig.append((s[at] & U64(255)).astype(np.uint8).tobytes() if len(s) else None)
-                held.append(s)
-            if held:
+                odd.append(parities(s))
                 some = True
-                at = (np.concatenate(held) >> U64(64 - SKETCH)).astype(np.int64)
-                counter += np.bincount(at, minlength=1 << SKETCH).astype(np.uint32)
+                held.append((s >> U64(64 - SKETCH)).astype(np.int64))
+                if sum(map(len, held)) > 1_000_000:
+                    counter += np.bincount(np.concatenate(held), minlength=1 << SKETCH).astype(np.uint32)
+                    held = []
+            if held:
+                counter += np.bincount(np.concatenate(held), minlength=1 << SKETCH).astype(np.uint32)
             k = len(size)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(size, pa.int32()), pa.array(same, pa.binary()), pa.array(m1, pa.int64()), pa.array(m2, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            odd = np.stack(odd) if odd else np.zeros((0, 4), np.int64)
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(size, pa.int32()), pa.array(same, pa.binary()), pa.array(m1, pa.int64()), pa.array(m2, pa.int64()), pa.array(sig, pa.binary()), *(pa.array(odd[:, i]) for i in range(4)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if some:
             parts_ = counter.reshape(_BLOCKS, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(_BLOCKS, pa.int64()), pa.nulls(_BLOCKS, pa.int32()), pa.nulls(_BLOCKS, pa.binary()), pa.nulls(_BLOCKS, pa.int64()), pa.nulls(_BLOCKS, pa.int64()), pa.nulls(_BLOCKS, pa.binary()), pa.array(np.arange(_BLOCKS), pa.int32()), pa.array([np.minimum(p, 65535).astype(np.uint16).tobytes() for p in parts_], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(_BLOCKS, pa.int64()), pa.nulls(_BLOCKS, pa.int32()), pa.nulls(_BLOCKS, pa.binary()), pa.nulls(_BLOCKS, pa.int64()), pa.nulls(_BLOCKS, pa.int64()), pa.nulls(_BLOCKS, pa.binary()), *(pa.nulls(_BLOCKS, pa.int64()) for _ in _BITS), pa.array(np.arange(_BLOCKS), pa.int32()), pa.array([np.minimum(p, 65535).astype(np.uint16).tobytes() for p in parts_], pa.binary())], names=names)
 
-    return docs.select(key, text).mapInArrow(run, "id bigint, size int, same binary, m1 bigint, m2 bigint, sig binary, block int, counts binary")
+    return docs.select(key, text).mapInArrow(run, "id bigint, size int, same binary, m1 bigint, m2 bigint, sig binary, b0 bigint, b1 bigint, b2 bigint, b3 bigint, block int, counts binary")
 
 
 def _rarity(rows: DataFrame) -> np.ndarray:
@@ -152,8 +182,7 @@ def _entries(docs: DataFrame, text: str, key: str, n: int, percent: int, rarity)
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(k)
-                reach = len(s) - -(-percent * len(s) // 100) + SHARE
-                p = in_order(s, rarity.value)[:reach]
+                p = in_order(s, rarity.value)[: prefix_size(len(s), percent)]
                 tok.append(p)
                 who.append(np.full(len(p), d, dtype=np.int64))
                 place.append((len(s) << 32) + np.arange(len(p), dtype=np.int64))
@@ -163,8 +192,33 @@ def _entries(docs: DataFrame, text: str, key: str, n: int, percent: int, rarity)
     return docs.select(key, text).mapInArrow(run, "token bigint, id bigint, place bigint")
 
 
+def _shared(entries: DataFrame, n_parts: int) -> DataFrame:
+    """Entries of lists with two documents or more, and the rows of documents."""
+    names = ["token", "id", "place"]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """An entry has company where its neighbour has the same token; the last
+        entry of a batch waits for the next."""
+        last, same = None, False
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            if last is not None:
+                now = [np.concatenate([x, y]) for x, y in zip(last, now, strict=True)]
+            pair = now[0][1:] == now[0][:-1]
+            keep = np.concatenate([[same], pair]) | np.concatenate([pair, [False]]) | (now[2] < 0)
+            last, same = [x[-1:] for x in now], bool(pair[-1]) if len(pair) else same
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep[:-1]]) for x in now], names=names)
+        if last is not None and (same or last[2][0] < 0):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in last], names=names)
+
+    return entries.repartition(n_parts, "token").sortWithinPartitions("token").mapInArrow(run, "token bigint, id bigint, place bigint")
+
+
 def by_list(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """(columns, bounds) of runs of whole lists, of batches in order of token."""
+    """(columns, bounds) of runs of whole lists, of batches in order of token. A list
+    holds ``HOT`` documents of either of two pieces at most, so runs are bounded."""
     left: list[np.ndarray] | None = None
     for batch in it:
         now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
@@ -179,68 +233,99 @@ def by_list(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np
         yield left, np.array([0, len(left[0])])
 
 
-def _shared(entries: DataFrame, n_parts: int) -> DataFrame:
-    """Entries of lists with two documents or more, and the rows of documents."""
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, bounds in by_list(it):
-            size = np.diff(bounds)
-            keep = np.repeat(size > 1, size) | (cols[2] < 0)
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=["token", "id", "place"])
-
-    return entries.repartition(n_parts, "token").sortWithinPartitions("token").mapInArrow(run, "token bigint, id bigint, place bigint")
+def _gridded(lists: DataFrame) -> DataFrame:
+    """Lists of more than ``HOT`` documents as a grid: each document goes to the
+    cells of its piece with every other; side tells the two pieces of a cell apart
+    (0: one piece with itself)."""
+    many = cut(lists.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(f"n > {HOT}").select("token", F.ceil(F.col("n") / HOT).cast("int").alias("pieces")))
+    if not many.limit(1).count():
+        return lists.withColumn("side", F.lit(0))
+    rest = lists.join(F.broadcast(many.select("token")) if many.count() < 100_000 else many.select("token"), "token", "left_anti").withColumn("side", F.lit(0))
+    own = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
+    dealt = lists.join(many, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    dealt = dealt.withColumns({"side": side, "token": F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))})
+    return rest.unionByName(dealt.select(*rest.columns))
+
+
+def candidates(cols: list[np.ndarray], bounds: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j): places of entries (token, place, id, centre, d, side, bits) of one
+    list that may link, in chunks. cols are in order of token and place."""
+    place, centre, side = cols[1], cols[3], cols[5]
+    size, pos, bits_ = place >> 32, place & 0xFFFFFFFF, [b.view(np.uint64) for b in cols[6:]]  # signed ones would be counted by absolute value
+
+    def fit(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y = size[i], size[j]
+        need = -(-percent * (x + y) // (100 + percent))
+        ok = (pos[i] <= x - need) & (pos[j] <= y - need) & (percent * y <= 100 * x) & (centre[i] != centre[j]) & ((side[i] == 0) | (side[i] != side[j]))
+        i, j, far = i[ok], j[ok], (x + y - 2 * need)[ok]
+        differ = np.zeros(len(i), dtype=np.int64)
+        for b in bits_:
+            differ += np.bitwise_count(b[i] ^ b[j])
+        ok = differ <= far
+        return i[ok], j[ok]
+
+    length = np.diff(bounds)
+    small = np.repeat(length <= SMALL, length)
+    behind = np.repeat(bounds[1:], length) - np.arange(len(place))  # entries from here to the list's end
+    for lag in range(1, SMALL):
+        i = np.flatnonzero(small & (behind > lag))
+        for a in range(0, len(i), CHUNK):
+            yield fit(i[a : a + CHUNK], i[a : a + CHUNK] + lag)
+    for k in np.flatnonzero(length > SMALL).tolist():
+        a, b = int(bounds[k]), int(bounds[k + 1])
+        if (centre[a:b] == centre[a]).all():
+            continue
+        sizes, first = np.unique(size[a:b], return_index=True)
+        edge = [*(first + a).tolist(), b]
+        for u, x in enumerate(sizes.tolist()):
+            for v in range(u, len(sizes)):
+                y = int(sizes[v])
+                if percent * y > 100 * x:
+                    break
+                need = least_overlap(x, y, percent)
+                left = edge[u] + int(np.searchsorted(pos[edge[u] : edge[u + 1]], x - need, side="right"))
+                right = edge[v] + int(np.searchsorted(pos[edge[v] : edge[v + 1]], y - need, side="right"))
+                wide = right - edge[v]
+                if not wide:
+                    continue
+                step = max(1, CHUNK // wide)
+                for at in range(edge[u], left, step):
+                    i = np.repeat(np.arange(at, min(left, at + step)), wide)
+                    j = np.tile(np.arange(edge[v], right), min(left, at + step) - at)
+                    if u == v:
+                        i, j = i[i < j], j[i < j]
+                    yield fit(i, j)
 
 
 def _visit(lists: DataFrame, percent: int, n_parts: int, members: bool) -> DataFrame:
-    """Of lists (token, place, id, centre, d): pairs of centres (a, b, slack, met)
-    whose members share a list with room for a link (met: in how many lists, at
-    least, counting up to SHARE before the room is judged); with ``members`` the
-    pairs of members (a, b, ca, cb, slack), other than the centres themselves, with
-    room at the first element they share."""
-
-    def one(place, ids, centre, d) -> list[tuple]:
-        size, pos = place >> 32, place & 0xFFFFFFFF
-        out = []
-        if (centre == centre[0]).all():
-            return out
-        stop = np.searchsorted(size, 100 * size // percent, side="right")
-        for i in range(len(ids) - 1):
-            j = slice(i + 1, int(stop[i]))
-            if j.stop <= j.start:
-                continue
-            room = (1 if members else SHARE) + np.minimum(size[i] - pos[i] - 1, size[j] - pos[j] - 1)
-            need = -(-percent * (size[i] + size[j]) // (100 + percent))
-            ok = np.flatnonzero((room >= need) & (centre[j] != centre[i]))
-            weight = np.where(need < SHARE, SHARE, 1)[ok]
-            ok += i + 1
-            if members:
-                weight, ok = weight[d[ok] + d[i] > 0], ok[d[ok] + d[i] > 0]
-            if len(ok):
-                out.append((np.full(len(ok), ids[i]), ids[ok], np.full(len(ok), centre[i]), centre[ok], d[ok] + d[i], weight))
-        return out
+    """Of lists: pairs of centres (a, b, slack) whose members may link; with
+    ``members`` the pairs of members (a, b, ca, cb, slack), other than the centres
+    themselves."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, bounds in by_list(it):
-            out = []
-            for k in np.flatnonzero(np.diff(bounds) > 1).tolist():
-                out += one(*(c[bounds[k] : bounds[k + 1]] for c in cols[1:]))
-            if not out:
-                continue
-            ia, ib, ca, cb, slack, weight = (np.concatenate(x) for x in zip(*out, strict=True))
-            if members:
-                flip = ia > ib
-                a, b, ca, cb = np.where(flip, ib, ia), np.where(flip, ia, ib), np.where(flip, cb, ca), np.where(flip, ca, cb)
-                _, at = np.unique(np.stack([a, b], axis=1), axis=0, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (a, b, ca, cb, slack)], names=["a", "b", "ca", "cb", "slack"])
-            else:
-                pair, at = np.unique(np.stack([np.minimum(ca, cb), np.maximum(ca, cb)], axis=1), axis=0, return_inverse=True)
-                most = np.zeros(len(pair))
-                np.maximum.at(most, at.ravel(), slack)
-                met = np.bincount(at.ravel(), weights=weight).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(most), pa.array(met)], names=["a", "b", "slack", "met"])
-
-    dealt = lists.select("token", "place", "id", "centre", "d").repartition(n_parts, "token").sortWithinPartitions("token", "place")
-    return dealt.mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint, slack double" if members else "a bigint, b bigint, slack double, met bigint")
+            ids, centre, d = cols[2:5]
+            for i, j in candidates(cols, bounds, percent):
+                slack = d[i] + d[j]
+                if members:
+                    i, j, slack = i[slack > 0], j[slack > 0], slack[slack > 0]
+                if not len(i):
+                    continue
+                if members:
+                    i, j = np.where(ids[i] > ids[j], j, i), np.where(ids[i] > ids[j], i, j)
+                    _, at = np.unique(np.stack([ids[i], ids[j]], axis=1), axis=0, return_index=True)
+                    i, j = i[at], j[at]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i], ids[j], centre[i], centre[j], slack[at])], names=["a", "b", "ca", "cb", "slack"])
+                else:
+                    pair, at = np.unique(np.stack([np.minimum(centre[i], centre[j]), np.maximum(centre[i], centre[j])], axis=1), axis=0, return_inverse=True)
+                    most = np.zeros(len(pair))
+                    np.maximum.at(most, at.ravel(), slack)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(most)], names=["a", "b", "slack"])
+
+    dealt = _gridded(lists.select("token", "place", "id", "centre", "d", *_BITS)).select("token", "place", "id", "centre", "d", "side", *_BITS)
+    dealt = dealt.repartition(n_parts, "token").sortWithinPartitions("token", "place")
+    return dealt.mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint, slack double" if members else "a bigint, b bigint, slack double")
 
 
 def _measure(docs: DataFrame, pairs: DataFrame, text: str, key: str, n: int) -> DataFrame:
@@ -308,8 +393,8 @@ def _flat(edges: DataFrame) -> bool:
 def links(docs: DataFrame, rows: DataFrame, percent: int, n: int, text: str, key: str, rarity) -> DataFrame:
     """(a, b): links that connect all documents that link; rows are profiles."""
     n_parts = max(2, parts(docs.sparkSession))
-    classes = cut(rows.groupBy("same").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("m1").alias("m1"), F.first("m2").alias("m2"), F.first("sig").alias("sig")))
-    copies = rows.select("same", F.col("id").alias("b")).join(classes.select("same", "rep"), "same").select(F.col("rep").alias("a"), "b")
+    classes = cut(rows.groupBy("same").agg(F.min("id").alias("rep"), F.first("size").alias("size"), F.first("m1").alias("m1"), F.first("m2").alias("m2"), F.first("sig").alias("sig"), *(F.first(b).alias(b) for b in _BITS)))
+    copies = rows.select("same", F.col("id").alias("b")).join(classes.select("same", "rep", *_BITS), "same").select(F.col("rep").alias("a"), "b", *_BITS)
     copies = cut(copies)
     # centres: of the documents with the same minimum hash the one whose elements are most common
     # (the original of near copies has none of their changes), where sizes and signatures look alike
@@ -327,14 +412,14 @@ def links(docs: DataFrame, rows: DataFrame, percent: int, n: int, text: str, key
     met = cut(_measure(docs, stars[0].union(stars[1]).distinct(), text, key, n))
     joined = met.where(linked).select("a", "b", far.alias("d"))
     own = joined.groupBy("b").agg(F.min(F.struct("d", "a")).alias("c")).select(F.col("b").alias("rep"), F.col("c.a").alias("centre"), F.col("c.d").alias("d"))
-    place = copies.select(F.col("b").alias("id"), F.col("a").alias("rep")).join(own, "rep", "left").select("id", "rep", F.coalesce("centre", "rep").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d"))
-    lists = cut(entries.where("place >= 0").join(place, "id").select("token", "place", F.col("rep").alias("id"), "centre", "d"))
-    pairs = cut(_visit(lists, percent, n_parts, False).groupBy("a", "b").agg(F.max("slack").alias("slack"), F.sum("met").alias("met")).where(f"met >= {SHARE}").drop("met"))
+    place = copies.select(F.col("b").alias("id"), F.col("a").alias("rep"), *_BITS).join(own, "rep", "left").select("id", "rep", *_BITS, F.coalesce("centre", "rep").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d"))
+    lists = cut(entries.where("place >= 0").join(place, "id").select("token", "place", F.col("rep").alias("id"), "centre", "d", *_BITS))
+    pairs = cut(_visit(lists, percent, n_parts, False).groupBy("a", "b").agg(F.max("slack").alias("slack")))
     either = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common", "sa", "sb").dropDuplicates(["a", "b"])
     known = either.join(pairs.select("a", "b"), ["a", "b"], "left_semi")
     new = _measure(docs, pairs.select("a", "b").join(either, ["a", "b"], "left_anti"), text, key, n)
     settled = cut(new.unionByName(known).join(pairs, ["a", "b"]).withColumn("far", far))
-    out = copies.where("a != b").unionByName(joined.select("a", "b")).unionByName(settled.where(linked).select("a", "b"))
+    out = copies.where("a != b").select("a", "b").unionByName(joined.select("a", "b")).unionByName(settled.where(linked).select("a", "b"))
     # members: only where the triangle inequality leaves a link possible
     unsettled = cut(settled.where(~linked).where(f"far - slack <= {1 - percent / 100} + 1e-9").select(F.col("a").alias("x"), F.col("b").alias("y"), "far"))
     if unsettled.limit(1).count():
