@@ -4,17 +4,22 @@ A page is read once into a light tree (unclosed and overlapping tags are
 tolerated, raw elements such as scripts are skipped whole). Every block of text
 gives points to the containers above it: one, one for each comma, and up to
 three for length, times the share of its letters outside links; all to the
-parent, half to the grandparent, less further up. The container with most points
-is the article, or the ``article``/``main`` element around it; siblings with
-enough points, and plain sibling paragraphs, are kept with it. Parts that say
-what they are by tag, role, class or id (menus, headers, footers, sidebars,
-notices, adverts, forms, comments, hidden parts) give no points and no text. A
-class or id takes no part away that lies around half or more of the text within
-``article``/``main`` elements, or, on a page without these, holds most of the
-points of the page. Lists of links within the article are kept.
-
-Null html counts as empty and gives the empty text. Each page is handled alone,
-in one map without a shuffle. Repeated rows give repeated results.
+parent, half to the grandparent, less further up; an ``article`` element starts with some.
+The container with most points, discounted by its share of letters in links, is the
+main text, or the nearest ``article`` around it; siblings with enough points, plain
+sibling paragraphs and a top heading are kept with it. Parts that say what they are
+by tag, role, class or id (menus, headers, footers, sidebars, notices, adverts, forms,
+comments, hidden parts) give no points and no text. A form, class or id takes no part
+away that lies around half or more of the text within ``article``/``main`` elements,
+or, on a page without these, holds most of the points of the page. A word that also
+has other uses (header, social, notice) counts only beside words of layout. Lists of
+links within the article are kept.
+
+Null and empty html give the empty text, and so does a page without text. Long pages
+are read to their end. Of containers with equally many points the first counts. Each
+page is handled alone, in one map without a shuffle; repeated rows give repeated
+results, and an empty table an empty one. ``keep`` may name any columns of the table
+but text and n_chars, which are made here; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import batches, ship
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -38,11 +43,13 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br nobr picture source input".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROP_TAGS = frozenset("nav footer aside form button dialog menu head fieldset audio video canvas map".split())
+_DROP_TAGS = frozenset("nav footer aside button dialog menu head fieldset audio video canvas map".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-_DROP_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar sidebars sidenav side menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations widget widgets pager pagination toolbar hidden skip paywall".split()
-)
+#: Words of a class or id that name an unwanted part; those that do so only beside words of layout; and these.
+_DROP_NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors cookie cookies consent gdpr popup modal newsletter login signup sidebar sidebars sidenav menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments commentlist disqus pager pagination paywall share sharing banner promo promotion overlay subscribe subscription reply replies respond related recommended recommendations widget widgets toolbar notices alerts".split())
+_WEAK_NAMES = frozenset("header side social notice alert hidden skip".split())
+_LAYOUT = frozenset("site page global top bottom left right main bar box list lists link links icon icons button buttons wrapper container wrap inner outer block area panel media message messages text content sticky fixed mobile desktop js is col row section item items posts stories articles follow legal copyright privacy".split())
+_ABOUT = frozenset("has no with without".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag of the first kind closes an open one of the second.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -61,16 +68,25 @@ class _Node:
         self.points = self.letters = self.linked = self.gain = self.inner = 0.0
 
 
+def _names_unwanted(value: str) -> bool:
+    """Whether one of the names in a class or id is that of an unwanted part."""
+    for name in value.split():
+        words = {w for w in re.split(r"[^a-z]+", name) if w}
+        if _ABOUT.isdisjoint(words) and (not _DROP_NAMES.isdisjoint(words) or not _WEAK_NAMES.isdisjoint(words) and words <= _WEAK_NAMES | _LAYOUT):
+            return True
+    return False
+
+
 def _unwanted(tag: str, attrs: str, inside: bool) -> int:
-    """2 for a part that goes, 1 for one that its class or id calls unwanted."""
+    """2 for a part that goes, 1 for a form or one that its class or id calls unwanted."""
     if tag in _DROP_TAGS or tag == "header" and not inside:
         return 2
     if not attrs or tag in ("html", "body", "article", "main"):
-        return 0
-    named = 0
+        return int(tag == "form")
+    named = int(tag == "form")
     for name, *value in _ATTR.findall(attrs):
         name, value = name.lower(), "".join(value).lower()
-        if name in ("class", "id") and not _DROP_NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
+        if name in ("class", "id") and _names_unwanted(value):
             named = 1
         if name == "role" and value.strip() in _DROP_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return 2
@@ -182,7 +198,7 @@ def main_text(page: str | None) -> str:
         while x is not None:
             if not x.points:
                 seen.append(x)
-                x.points = 25.0 if x.tag in ("article", "main") else 1e-9
+                x.points = 25.0 if x.tag == "article" else 1e-9
             x.points += gain / (1, 2, 6, 9, 12)[min(level, 4)]
             x, level = x.up, level + 1
     if not seen:
@@ -190,9 +206,10 @@ def main_text(page: str | None) -> str:
     worth = {id(x): x.points * (1 - x.linked / max(1, x.letters)) for x in seen}
     best = max(seen, key=lambda x: worth[id(x)])
     x = best
-    while x is not None:  # the element that names itself the article has the last word
-        if x.tag in ("article", "main"):
+    while x is not None:  # the element around it that names itself the article is taken whole
+        if x.tag == "article":
             best = x
+            break
         x = x.up
     least = max(10.0, 0.2 * worth[id(best)])
     kept = []
@@ -200,13 +217,13 @@ def main_text(page: str | None) -> str:
         x, child = node, node
         while x is not None and x is not best:
             child, x = x, x.up
-        if x is None and best.up is not None and best.tag not in ("article", "main"):
+        if x is None and best.up is not None and best.tag != "article":
             x = node
             while x is not None and x.up is not best.up:
                 x = x.up
             if x is not None:
                 dense = x.linked / max(1, x.letters)
-                if not (worth.get(id(x), 0.0) >= least and dense < 0.3 or x.tag == "p" and dense < 0.25 and (len(text) > 80 or dense == 0 and text[-1:] in ".!?")):
+                if not (worth.get(id(x), 0.0) >= least and dense < 0.3 or x.tag == "h1" and dense < 0.25 or x.tag == "p" and dense < 0.25 and (len(text) > 80 or dense == 0 and text[-1:] in ".!?")):
                     x = None
         if x is not None:
             kept.append(text)
@@ -219,9 +236,9 @@ def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] =
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                texts = [main_text(x) for x in part.column(len(keep)).to_pylist()]
+            for a, b in batches(whole := batch.column(len(keep)).to_pylist()):
+                part = batch.slice(a, b - a)
+                texts = [main_text(x) for x in whole[a:b]]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
     src = pages.select(*keep, pages[html_column].alias("__html"))
