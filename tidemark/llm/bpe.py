@@ -9,11 +9,14 @@ it. As the tokenizer drops white space and never merges over it, the outcome
 then agrees exactly with the encoding of the whole text. A tokenizer for which
 that doesn't hold (checked by :func:`drops_space`) gets the whole-text encoding.
 
-Reuse is per task, within a memory bound: sharing chunks between tasks would
-shuffle the corpus and its ids, more than the encoding costs.
-
-Nulls count as empty texts; empty texts have no ids; other columns are carried
-by :func:`encode_documents` only where asked for.
+Reuse is per worker process, across its tasks and all documents they hold, within a
+memory bound: sharing chunks between processes would shuffle the corpus and its ids
+(figures: see README).
+
+Nulls count as empty texts; empty texts have no ids. Long texts are encoded whole,
+chunk by chunk. Repeated rows give repeated results, and an empty table an empty one;
+ties don't arise. ``keep`` may name any columns but n_tokens, ids, decoded and the
+digests, which are made here; other columns are not read.
 """
 
 from __future__ import annotations
@@ -147,6 +150,17 @@ def cut_points(data: bytes) -> list[int]:
     return at[(buf[at] & 0xC0) != 0x80].tolist()
 
 
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def shared_encoder(path: str) -> ChunkEncoder:
+    """The worker process's encoder for a tokenizer file: its chunks outlive a task."""
+    found = _encoders.get(path)
+    if found is None:
+        _encoders[path] = found = ChunkEncoder(path)
+    return found
+
+
 class ChunkEncoder:
     """Encodes and decodes texts through a memo of chunks and one of words."""
 
@@ -217,7 +231,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
     out = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = ChunkEncoder(path)
+        enc = shared_encoder(path)
         for batch in it:
             column = batch.column(len(keep))
             for a, b in batches(texts := column.to_pylist()):

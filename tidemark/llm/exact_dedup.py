@@ -16,9 +16,11 @@ Nothing but (id, digest) pairs is shuffled. Digests spread evenly over shards
 however many copies a text has, as copies are combined before the shuffle; the
 last join, of rows with their group, is left to Spark's split of skewed joins.
 
-Nulls count as empty texts. A null id is smaller than any other; among equal
-rows with the same id exactly the rows with the kept id stay, so repeated ids
-stay together. Empty tables give empty results.
+Nulls count as empty texts; long texts are digested whole. A null id is smaller
+than any other; among equal rows with the same id exactly the rows with the kept id
+stay, so repeated ids stay together (a tie). Empty tables give empty results, with
+or without a history. Of the table only the id and the text are read, and the result
+has its own columns, so clashing names of others do no harm.
 """
 
 from __future__ import annotations
@@ -61,6 +63,8 @@ class PerfectHash:
 
     @classmethod
     def build(cls, words: np.ndarray) -> PerfectHash:
+        if len(words) != len(np.unique(np.ascontiguousarray(words).view("V32"))):
+            raise ValueError("digests must be distinct")
         levels, left = [], words
         while len(left):
             size = max(8, int(len(left) * _GAMMA))
@@ -171,7 +175,7 @@ def dedup(docs: DataFrame, history: DataFrame | None = None, text: str = "text",
     """(rows, classes) of ``docs`` given ``history`` (digest, winner, n).
 
     rows: id, digest, keep_id, group_size, kept, each row of docs once; classes:
-    the history including docs. Without a history, the first half of the ids (up
+    the history including docs. A history's repeated digests are put together. Without a history, the first half of the ids (up
     to the middle of their range) is taken as the past and the rest as incoming.
     """
     spark = docs.sparkSession
@@ -183,6 +187,7 @@ def dedup(docs: DataFrame, history: DataFrame | None = None, text: str = "text",
         history = grouped(rows.where(F.col("id") <= middle))
         incoming = grouped(rows.where(F.col("id").isNull() | (F.col("id") > middle)))
     else:
+        history = history.groupBy("digest").agg(F.max("winner").alias("winner"), F.sum("n").alias("n"))
         incoming = grouped(rows)
     n = max(1, docs.count() // SHARD, parts(spark) // 2)
     classes = cut(look_up(incoming, build_index(history.select("digest", "winner", "n"), n), n))
