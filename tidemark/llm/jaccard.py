@@ -20,7 +20,8 @@ visited by blocks of equal size: two blocks whose sizes can't match are skipped,
 and so is what stands in a block at positions that leave too little room for the
 overlap that these sizes need. What is left is told apart by bitmaps of 256 bits,
 one parity for each: a pair that links differs in no more bits than elements. Pairs
-leave in chunks, so memory doesn't follow a list's length, and a list of more than
+leave in chunks (of two sets too large for such bitmaps those that share ``SHARE``
+elements of somewhat longer prefixes), so memory doesn't follow a list's length, and a list of more than
 ``HOT`` documents is dealt as a grid of its pieces.
 Rarity is told by a table of ``2**SKETCH`` counters over the shingles of all
 documents (bounded; a common order is all that exactness needs), which keeps
@@ -51,6 +52,8 @@ from .common import U64, Words, batches, cut, mix, parts, ship
 SKETCH, _BLOCKS = 20, 64
 #: Documents in a list beyond which it is dealt as a grid, and in one that is visited with others at once.
 HOT, SMALL = 16_384, 12
+#: Differing bits of 256 beyond which bitmaps tell little, and elements of prefixes that large sets must share.
+FAR, SHARE = 80, 3
 #: Pairs looked at together.
 CHUNK = 500_000
 _BITS = ["b0", "b1", "b2", "b3"]
@@ -89,7 +92,13 @@ def prefix_size(x: int, percent: int) -> int:
     least = -(-percent * x // 100)
     if least == x and 100 * x // percent == x and least_overlap(x, x, percent) == x:
         return 0
-    return x - least + 1
+    return x - least + (SHARE if is_large(x, percent) else 1)
+
+
+def is_large(x, percent: int):
+    """Whether sets of x elements may link although more bits differ than the
+    bitmaps can tell; such sets must share ``SHARE`` elements of their prefixes."""
+    return 2 * (x - least_overlap(x, x, percent)) > FAR
 
 
 def parities(s: np.ndarray) -> np.ndarray:
@@ -248,22 +257,24 @@ def _gridded(lists: DataFrame) -> DataFrame:
     return rest.unionByName(dealt.select(*rest.columns))
 
 
-def candidates(cols: list[np.ndarray], bounds: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j): places of entries (token, place, id, centre, d, side, bits) of one
-    list that may link, in chunks. cols are in order of token and place."""
+def candidates(cols: list[np.ndarray], bounds: np.ndarray, percent: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, share): places of entries (token, place, id, centre, d, side, bits) of
+    one list that may link, in chunks, and how many lists they must meet in: 1, or
+    ``most`` where both sets are large. cols are in order of token and place."""
     place, centre, side = cols[1], cols[3], cols[5]
     size, pos, bits_ = place >> 32, place & 0xFFFFFFFF, [b.view(np.uint64) for b in cols[6:]]  # signed ones would be counted by absolute value
 
-    def fit(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def fit(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, y = size[i], size[j]
-        need = -(-percent * (x + y) // (100 + percent))
-        ok = (pos[i] <= x - need) & (pos[j] <= y - need) & (percent * y <= 100 * x) & (centre[i] != centre[j]) & ((side[i] == 0) | (side[i] != side[j]))
-        i, j, far = i[ok], j[ok], (x + y - 2 * need)[ok]
+        need = least_overlap(x, y, percent)
+        share = np.where(is_large(x, percent) & is_large(y, percent), most, 1)
+        ok = (pos[i] <= x - need + share - 1) & (pos[j] <= y - need + share - 1) & (percent * y <= 100 * x) & (centre[i] != centre[j]) & ((side[i] == 0) | (side[i] != side[j]))
+        i, j, share, far = i[ok], j[ok], share[ok], (x + y - 2 * need)[ok]
         differ = np.zeros(len(i), dtype=np.int64)
         for b in bits_:
             differ += np.bitwise_count(b[i] ^ b[j])
         ok = differ <= far
-        return i[ok], j[ok]
+        return i[ok], j[ok], share[ok]
 
     length = np.diff(bounds)
     small = np.repeat(length <= SMALL, length)
@@ -283,9 +294,9 @@ def candidates(cols: list[np.ndarray], bounds: np.ndarray, percent: int) -> Iter
                 y = int(sizes[v])
                 if percent * y > 100 * x:
                     break
-                need = least_overlap(x, y, percent)
-                left = edge[u] + int(np.searchsorted(pos[edge[u] : edge[u + 1]], x - need, side="right"))
-                right = edge[v] + int(np.searchsorted(pos[edge[v] : edge[v + 1]], y - need, side="right"))
+                room = (most if is_large(x, percent) and is_large(y, percent) else 1) - 1 - least_overlap(x, y, percent)
+                left = edge[u] + int(np.searchsorted(pos[edge[u] : edge[u + 1]], x + room, side="right"))
+                right = edge[v] + int(np.searchsorted(pos[edge[v] : edge[v + 1]], y + room, side="right"))
                 wide = right - edge[v]
                 if not wide:
                     continue
@@ -299,14 +310,15 @@ def candidates(cols: list[np.ndarray], bounds: np.ndarray, percent: int) -> Iter
 
 
 def _visit(lists: DataFrame, percent: int, n_parts: int, members: bool) -> DataFrame:
-    """Of lists: pairs of centres (a, b, slack) whose members may link; with
+    """Of lists: pairs of centres (a, b, slack, met) whose members may link (met
+    reaches SHARE, summed, where they meet in as many lists as they must); with
     ``members`` the pairs of members (a, b, ca, cb, slack), other than the centres
     themselves."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cols, bounds in by_list(it):
             ids, centre, d = cols[2:5]
-            for i, j in candidates(cols, bounds, percent):
+            for i, j, share in candidates(cols, bounds, percent, 1 if members else SHARE):
                 slack = d[i] + d[j]
                 if members:
                     i, j, slack = i[slack > 0], j[slack > 0], slack[slack > 0]
@@ -321,11 +333,12 @@ def _visit(lists: DataFrame, percent: int, n_parts: int, members: bool) -> DataF
                     pair, at = np.unique(np.stack([np.minimum(centre[i], centre[j]), np.maximum(centre[i], centre[j])], axis=1), axis=0, return_inverse=True)
                     most = np.zeros(len(pair))
                     np.maximum.at(most, at.ravel(), slack)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(most)], names=["a", "b", "slack"])
+                    met = np.bincount(at.ravel(), weights=np.where(share > 1, 1, SHARE)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(most), pa.array(met)], names=["a", "b", "slack", "met"])
 
     dealt = _gridded(lists.select("token", "place", "id", "centre", "d", *_BITS)).select("token", "place", "id", "centre", "d", "side", *_BITS)
     dealt = dealt.repartition(n_parts, "token").sortWithinPartitions("token", "place")
-    return dealt.mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint, slack double" if members else "a bigint, b bigint, slack double")
+    return dealt.mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint, slack double" if members else "a bigint, b bigint, slack double, met bigint")
 
 
 def _measure(docs: DataFrame, pairs: DataFrame, text: str, key: str, n: int) -> DataFrame:
@@ -414,7 +427,7 @@ def links(docs: DataFrame, rows: DataFrame, percent: int, n: int, text: str, key
     own = joined.groupBy("b").agg(F.min(F.struct("d", "a")).alias("c")).select(F.col("b").alias("rep"), F.col("c.a").alias("centre"), F.col("c.d").alias("d"))
     place = copies.select(F.col("b").alias("id"), F.col("a").alias("rep"), *_BITS).join(own, "rep", "left").select("id", "rep", *_BITS, F.coalesce("centre", "rep").alias("centre"), F.coalesce("d", F.lit(0.0)).alias("d"))
     lists = cut(entries.where("place >= 0").join(place, "id").select("token", "place", F.col("rep").alias("id"), "centre", "d", *_BITS))
-    pairs = cut(_visit(lists, percent, n_parts, False).groupBy("a", "b").agg(F.max("slack").alias("slack")))
+    pairs = cut(_visit(lists, percent, n_parts, False).groupBy("a", "b").agg(F.max("slack").alias("slack"), F.sum("met").alias("met")).where(f"met >= {SHARE}").drop("met"))
     either = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "common", "sa", "sb").dropDuplicates(["a", "b"])
     known = either.join(pairs.select("a", "b"), ["a", "b"], "left_semi")
     new = _measure(docs, pairs.select("a", "b").join(either, ["a", "b"], "left_anti"), text, key, n)
