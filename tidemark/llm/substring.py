@@ -54,6 +54,8 @@ PHRASE = 12
 #: one phrase in a shard. Small automata are far faster: the search for a letter below
 #: the root takes time in proportion to how many there are.
 AUTOMATON, HOT = 64, 512
+#: Characters hashed together: arrays of some tens of bytes for each word.
+SLICE = 1_500_000
 _BLANK = re.compile(b" ")
 
 
@@ -101,7 +103,7 @@ def regions(w: Words, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 def _phrases(docs: DataFrame, text: str, width: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for a, b in batches(texts := batch.column(0).to_pylist()):
+            for a, b in batches(texts := batch.column(0).to_pylist(), size=SLICE):
                 p, n = np.unique(regions(Words(texts[a:b]), width)[3], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(p.view(np.int64)), pa.array(n, pa.int64())], names=["phrase", "n"])
 
@@ -115,7 +117,7 @@ def _regions(docs: DataFrame, text: str, key: str, width: int, table, log2: int)
         seen: set[tuple[int, int]] = set()
         for batch in it:
             texts = batch.column(2).to_pylist()
-            for a, b in batches(texts):
+            for a, b in batches(texts, size=SLICE):
                 w = Words([b" ".join((t or "").encode("utf-8", "replace").split()) for t in texts[a:b]])
                 doc, first, n, phrase = regions(w, width)
                 hit = bits.holds(table.value, phrase, log2)
@@ -129,7 +131,7 @@ def _regions(docs: DataFrame, text: str, key: str, width: int, table, log2: int)
                     if k not in seen:
                         seen.add(k)
                         said[i] = w.raw[x:y]
-                if len(seen) > 300_000:
+                if len(seen) > 150_000:
                     seen.clear()
                 at = pa.array(a + doc)
                 yield pa.RecordBatch.from_arrays(
@@ -146,7 +148,7 @@ def _windows(rows: DataFrame, width: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             texts = batch.column(1).to_pylist()
-            for a, b in batches(texts, 2000):
+            for a, b in batches(texts, 2000, SLICE):
                 w = Words(texts[a:b])
                 h = w.hash
                 one, two = sliding_hash(h, width), sliding_hash(second(h), width)
