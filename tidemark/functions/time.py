@@ -55,7 +55,7 @@ def stream_time(df: DataFrame, seq: str, ms: str, name: str = "stream_time", buc
     table is cut into ranges of ``seq``; their maxima (one row a range) are
     accumulated, and each range only adds its own running maximum.
     """
-    kept = df.withColumn("__range", F.floor(F.col(seq) / F.lit(bucket)))
+    kept = df.withColumn("__range", F.col(seq) - F.pmod(F.col(seq), F.lit(bucket)))
     tops = kept.groupBy("__range").agg(F.max(ms).alias("__top"))
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     carried = tops.select("__range", F.max("__top").over(before).alias("__before"))

@@ -61,11 +61,21 @@ def global_join(stream: DataFrame, table: DataFrame, on: Column | list[str], how
 
 
 def foreign_key_join(left: DataFrame, right: DataFrame, foreign: str, primary: str, how: str = "inner") -> DataFrame:
-    """Newest left rows with the newest right row that they refer to. Recomputed
-    from both tables' newest versions, so changes of either side show."""
+    """Left rows with the right row that they refer to. Both sides are tables, one
+    row a key (:func:`tables.latest_by_key` of a feed); recomputed from these, the
+    result shows changes of either side, and :func:`table_changes` tells which."""
     return left.join(right, left[foreign] == right[primary], how)
 
 
+def table_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What changed between two states of a table: rows taken back (change "-") and
+    rows put there ("+"), equal rows counted singly. One aggregate, no join."""
+    columns = after.columns
+    both = before.select(*columns).withColumn("__n", F.lit(-1)).unionByName(after.withColumn("__n", F.lit(1)))
+    net = both.groupBy(*columns).agg(F.sum("__n").alias("__n")).where("__n != 0")
+    return net.select(*columns, F.when(F.col("__n") > 0, "+").otherwise("-").alias("change"), F.explode(F.sequence(F.lit(1), F.abs("__n").cast("int"))).alias("__k")).drop("__k")
+
+
 def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ms: str, right_ms: str, before: int, after: int | None = None) -> DataFrame:
     """Pairs of a key with left - before <= right <= left + after. Time is cut into
     cells of the interval's length and the left side visits the cells it reaches

@@ -45,3 +45,14 @@ def segment_roll(before: Column, after: Column, retention: int, interval: int) -
     """(expired, created): what advancing stream time removes and adds."""
     old, new = active_segments(before, retention, interval), active_segments(after, retention, interval)
     return F.array_except(old, new), F.array_except(new, old)
+
+
+#: The segment of a table's own records, apart from those of its rows.
+METADATA_SEGMENT = -1
+
+
+def session_segment(end: Column, interval: int, metadata: Column | None = None) -> Column:
+    """Segment of a session, by its end; rows that ``metadata`` marks go to
+    ``METADATA_SEGMENT``."""
+    at = segment_start(end, interval)
+    return at if metadata is None else F.when(metadata, F.lit(METADATA_SEGMENT).cast("long")).otherwise(at)

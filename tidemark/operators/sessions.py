@@ -72,6 +72,17 @@ def fetch_session(table: DataFrame, key: str, wanted, start: int, end: int) -> D
     return table.where((F.col(key) == F.lit(wanted)) & (F.col("session_start") == start) & (F.col("session_end") == end))
 
 
+def fetch_keys(table: DataFrame, key: str, low, high=None) -> DataFrame:
+    """All sessions of one key, or of the keys from ``low`` to ``high``."""
+    return table.where(F.col(key).between(low, low if high is None else high))
+
+
+def fetch_sessions(table: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The sessions named by key, start and end."""
+    at = [*keys, "session_start", "session_end"]
+    return table.join(wanted.select(*at), at, "left_semi")
+
+
 def fetch_by_end(table: DataFrame, end_from: int, end_to: int, key: str | None = None, wanted=None) -> DataFrame:
     """Sessions by the range of their ends, both included."""
     out = table.where(F.col("session_end").between(end_from, end_to))

@@ -36,7 +36,7 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Callabl
 
         for b in it:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                key = tuple(row[i] for i in at)
+                key = tuple([None if row[i] != row[i] else row[i] for i in at])  # one NaN isn't another
                 if key != last:
                     if last is not None and finish is not None:
                         out.extend(finish(state))
@@ -91,6 +91,25 @@ def key_batches(df: DataFrame, keys: list[str], seq: str, ms: str, size: Column,
     return ordered_fold(src, keys, [seq], step, schema, finish)
 
 
+def batch_rows(df: DataFrame, keys: list[str], seq: str, ms: str, size: Column, item: str, max_count: int = 50, max_size: int = 1000, max_age: int | None = None) -> DataFrame:
+    """The batches of :func:`key_batches` with what they hold: key, batch, first_ms,
+    total, and ``items``, the array of ``item`` in order."""
+    src = df.select(*keys, seq, F.col(ms).cast("long").alias("__ms"), size.cast("long").alias("__size"), F.col(item).alias("item"))
+    n = len(keys)
+    schema = T.StructType([*src.schema.fields[: n + 1], T.StructField("__ms", T.LongType()), T.StructField("__size", T.LongType()), src.schema.fields[-1], T.StructField("batch", T.LongType())])
+
+    def step(state, row):
+        number, first, count, total = state or (0, None, 0, 0)
+        first = row[n + 1] if first is None else first
+        count, total = count + 1, total + (row[n + 2] or 0)
+        closes = count > max_count or total > max_size or max_age is not None and row[n + 1] - first > max_age
+        return (number + 1, None, 0, 0) if closes else (number, first, count, total), ((*row, number),)
+
+    rows = ordered_fold(src, keys, [seq], step, schema)
+    held = F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col("item").alias("v")))), lambda x: x["v"])
+    return rows.groupBy(*keys, "batch").agg(F.min_by("__ms", seq).alias("first_ms"), F.sum("__size").alias("total"), held.alias("items"))
+
+
 def checksum_chain(df: DataFrame, keys: list[str], seq: str, values: list[str]) -> DataFrame:
     """key, links, checksum: SHA-256 chained over a key's rows; for each of the
     row's values in turn, h becomes sha256(h || value as eight bytes, big end first)."""

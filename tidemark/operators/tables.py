@@ -67,16 +67,26 @@ def entry_count(table: DataFrame, keys: list[str], approximate: bool = False) ->
     return table.agg(F.approx_count_distinct(F.struct(*keys)) if approximate else F.count(F.lit(1))).toDF("entries")
 
 
-def overlay_merge(stored: DataFrame, written: DataFrame, keys: list[str], deleted: str) -> DataFrame:
+def overlay_merge(stored: DataFrame, written: DataFrame, keys: list[str], deleted: str, duplicates: bool = False) -> DataFrame:
     """A stored table under newer writes: a write wins over the stored row with
-    its key, a tombstone hides it, and one without a stored row does nothing."""
+    its key, a tombstone hides it, and one without a stored row does nothing. With
+    ``duplicates`` a write stands beside the stored rows of its key."""
     columns = [c for c in written.columns if c != deleted]
+    if duplicates:
+        gone = written.where(F.col(deleted)).select(*keys)
+        return stored.join(gone, keys, "left_anti").select(*columns).unionByName(written.where(~F.col(deleted)).select(*columns))
     rest = stored.join(written.select(*keys), keys, "left_anti").select(*columns)
     return rest.unionByName(written.where(~F.col(deleted)).select(*columns))
 
 
-def migrate_changelog(feed: DataFrame, keys: list[str], ms: str, now: int, ttl: int | None, seq: str = "seq", value: str | None = None) -> DataFrame:
+def flush_retained(batch: DataFrame, ms: str, now: Column, ttl: int, value: str) -> DataFrame:
+    """What of a batch of writes goes to the store: rows past their time to live
+    don't, tombstones always do."""
+    return batch.where(F.col(value).isNull() | (F.col(ms) >= now - F.lit(ttl)))
+
+
+def migrate_changelog(feed: DataFrame, keys: list[str], ms: str, now: int | Column, ttl: int | None, seq: str = "seq", value: str | None = None) -> DataFrame:
     """Bulk load of a changelog: rows too old to be visible are skipped before the
     newest version of each key is taken, tombstones included."""
-    fresh = feed if ttl is None else feed.where(F.col(ms) >= F.lit(now - ttl))
+    fresh = feed if ttl is None else feed.where(F.col(ms) >= (F.lit(now) if isinstance(now, int) else now) - F.lit(ttl))
     return latest_by_key(fresh, keys, seq, value)

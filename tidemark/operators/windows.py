@@ -39,6 +39,13 @@ def default_segments(retention: int, size: int) -> int:
     return min(100, retention // size) if size < retention / 10 else 10
 
 
+def with_segments(retention: int, size: int, wanted: int | None = None) -> int:
+    """Segments as asked for: at most one a millisecond of retention; fewer than two
+    are not possible, the default stays then."""
+    default = default_segments(retention, size)
+    return default if wanted is None or wanted < 2 else min(wanted, retention)
+
+
 def retained(table: DataFrame, observed: Column | int, retention: int, at: str = "window_start") -> DataFrame:
     """Windows (or sessions, by their end) that retention still covers."""
     return table.where(F.col(at) >= (F.lit(observed) if isinstance(observed, int) else observed) - F.lit(positive("retention", retention)) + F.lit(1))

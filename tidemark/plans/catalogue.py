@@ -161,7 +161,7 @@ def overlay_merge(spark, d):
 @query(f"WITH {EV} SELECT user_id, event_id, event_type, ms FROM ev WHERE ms >= (SELECT max(ms) FROM ev) - {10 * DAY} QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def migrate_changelog(spark, d):
     e = events(spark, d).select("user_id", "event_id", "event_type", "ms")
-    now = e.agg(F.max("ms")).first()[0]
+    now = e.agg(F.max("ms")).scalar()
     return tables.migrate_changelog(e, ["user_id"], "ms", now, 10 * DAY, "event_id")
 
 
@@ -184,14 +184,14 @@ _TTL = f"CASE event_type WHEN 'click' THEN {HOUR} WHEN 'purchase' THEN {2 * DAY}
 @query(f"WITH {EV} SELECT * FROM (SELECT user_id, event_id, ms FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE ms >= (SELECT max(ms) FROM ev) - {12 * HOUR}")
 def ttl_default_lookup(spark, d):
     e = events(spark, d)
-    now = e.agg(F.max("ms")).first()[0]
+    now = e.agg(F.max("ms")).scalar()
     return ttl.expire(tables.latest_by_key(e.select("user_id", "event_id", "ms"), ["user_id"], "event_id"), "ms", now, ttl.TimeToLive(12 * HOUR))
 
 
 @query(f"WITH {EV} SELECT * FROM (SELECT user_id, event_id, event_type, ms FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE ms >= (SELECT max(ms) FROM ev) - {_TTL}")
 def ttl_row_level(spark, d):
     e = events(spark, d)
-    now = e.agg(F.max("ms")).first()[0]
+    now = e.agg(F.max("ms")).scalar()
     return ttl.expire(tables.latest_by_key(e.select("user_id", "event_id", "event_type", "ms"), ["user_id"], "event_id"), "ms", now, _row_ttl())
 
 
@@ -275,7 +275,7 @@ def window_back_fetch(spark, d):
 
 @query(f"WITH {WT} SELECT * FROM wt WHERE window_start >= (SELECT max(ms) FROM ev) - {10 * DAY} + 1")
 def window_retention(spark, d):
-    now = events(spark, d).agg(F.max("ms")).first()[0]
+    now = events(spark, d).agg(F.max("ms")).scalar()
     return windows.retained(tumbling_count(spark, d), now, 10 * DAY)
 
 
@@ -307,9 +307,20 @@ def session_find(spark, d):
     return sessions.find_sessions(session_agg(spark, d), _T0 + 3 * DAY, _T0 + 5 * DAY)
 
 
-@query()
+#: The fold of sessions in order of arrival, one event of each key a step: live are the
+#: sessions after it, gone those that expired before it, met those that it took in.
+_FOLD = f"""WITH RECURSIVE {LATE}, r AS (SELECT user_id, ms, stream_time AS now, cents AS v, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS rn FROM lt),
+  f AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST([] AS STRUCT(s BIGINT, e BIGINT, v BIGINT)[]) AS live, CAST([] AS STRUCT(s BIGINT, e BIGINT, v BIGINT)[]) AS gone, CAST([] AS STRUCT(s BIGINT, e BIGINT, v BIGINT)[]) AS met, CAST(0 AS BIGINT) AS low, CAST(0 AS BIGINT) AS high, CAST(0 AS BIGINT) AS total, false AS kept, CAST(0 AS BIGINT) AS ms FROM r WHERE rn = 1
+    UNION ALL SELECT user_id, rn, CASE WHEN high >= valid THEN list_concat([x FOR x IN live IF NOT list_contains(met, x)], [{{'s': low, 'e': high, 'v': total}}]) ELSE live END, gone, met, low, high, total, high >= valid, ms
+    FROM (SELECT *, least(ms, coalesce(list_min([x.s FOR x IN met]), ms)) AS low, greatest(ms, coalesce(list_max([x.e FOR x IN met]), ms)) AS high, v + coalesce(CAST(list_sum([x.v FOR x IN met]) AS BIGINT), 0) AS total
+      FROM (SELECT *, [x FOR x IN live IF x.e >= ms - {6 * HOUR} AND x.s <= ms + {6 * HOUR}] AS met
+        FROM (SELECT *, [x FOR x IN held IF x.e >= valid] AS live, [x FOR x IN held IF x.e < valid] AS gone
+          FROM (SELECT f.user_id, r.rn, r.ms, r.v, f.live AS held, r.now - {7 * HOUR} + 1 AS valid FROM f JOIN r ON r.user_id = f.user_id AND r.rn = f.rn + 1)))))"""
+
+
+@query(f"""{_FOLD} SELECT user_id, x.s AS session_start, x.e AS session_end, x.v AS cents
+  FROM (SELECT user_id, unnest(gone) AS x FROM f UNION ALL SELECT user_id, unnest(arg_max(live, rn)) AS x FROM f GROUP BY user_id)""")
 def session_grace_late(spark, d):
-    """No SQL: each event's fate depends on the sessions open when it came."""
     out = sessions.session_fold(late_events(spark, d), ["user_id"], "seq", "ms", "cents", 6 * HOUR, HOUR, 0, lambda a, v: a + v, lambda a, b: a + b, T.LongType())
     return out.withColumnRenamed("value", "cents")
 
@@ -370,12 +381,15 @@ def interval_join(spark, d):
     return joins.interval_join(left, right, ["user_id"], "l_ms", "r_ms", 6 * HOUR).select("user_id", "click", "purchase")
 
 
-@query(f"""WITH o AS (SELECT o_orderkey, o_custkey, epoch_us(o_orderdate) // 1000 AS ms, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, c_name FROM orders JOIN customer ON o_custkey = c_custkey)
+@query(f"""WITH a AS (SELECT *, epoch_us(o_orderdate) // 1000 AS ms FROM orders), t AS (SELECT *, max(ms) OVER (ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS now FROM a),
+  o AS (SELECT o_orderkey, o_custkey, ms, CAST(round(o_totalprice * 100) AS BIGINT) AS cents, c_name FROM t JOIN customer ON o_custkey = c_custkey WHERE ms - ((ms % {DAY}) + {DAY}) % {DAY} + {DAY} + {12 * HOUR} > now)
   SELECT o_custkey, ms - ((ms % {DAY}) + {DAY}) % {DAY} AS window_start, CAST(sum(cents) AS BIGINT) AS cents, min(o_orderkey) AS first_order, any_value(c_name) AS c_name FROM o GROUP BY 1, 2""")
 def enrich_window_reduce(spark, d):
+    """One-day windows with twelve hours of grace; orders arrive by number."""
     o, c = read_table(spark, d, "orders"), read_table(spark, d, "customer")
-    rows = o.select("o_orderkey", "o_custkey", millis(o, "o_orderdate").alias("ms"), cents("o_totalprice").alias("cents")).join(c.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
-    return windows.windowed(rows, ["o_custkey"], "ms", DAY, cents=F.sum("cents"), first_order=F.min("o_orderkey"), c_name=F.min_by("c_name", "o_orderkey")).drop("window_end")
+    feed = stream_time(o.select("o_orderkey", "o_custkey", millis(o, "o_orderdate").alias("ms"), cents("o_totalprice").alias("cents")), "o_orderkey", "ms")
+    rows = feed.join(c.select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey")
+    return windows.windowed(rows, ["o_custkey"], "ms", DAY, grace=12 * HOUR, cents=F.sum("cents"), first_order=F.min("o_orderkey"), c_name=F.min_by("c_name", "o_orderkey")).drop("window_end")
 
 
 _SCAN = """WITH e AS (SELECT event_id, user_id, event_type, substr(event_type, 1, 1) || event_id % 10 AS v FROM events),
@@ -419,9 +433,13 @@ def checksum_chain(spark, d):
     return stateful.checksum_chain(events(spark, d), ["user_id"], "event_id", ["event_id", "cents"])
 
 
-@query("SELECT user_id, count(*) FILTER (WHERE event_id < 5000 AND event_type <> 'error') AS origin_events FROM events GROUP BY user_id")
+@query("""WITH c AS (SELECT user_id, max(event_id) AS committed FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+  SELECT e.user_id, count(*) FILTER (WHERE event_id < coalesce(committed, 0) AND event_type <> 'error') AS origin_events FROM events e LEFT JOIN c ON e.user_id = c.user_id GROUP BY e.user_id""")
 def origin_event_count(spark, d):
-    return stateful.origin_event_count(events(spark, d), "user_id", "event_id", F.lit(5000), F.col("event_type") == "error")
+    """A user's last purchase stands for the offset committed for them."""
+    e = events(spark, d)
+    committed = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("event_id").alias("committed"))
+    return stateful.origin_event_count(e.join(committed, "user_id", "left"), "user_id", "event_id", F.coalesce("committed", F.lit(0)), F.col("event_type") == "error")
 
 
 @query(f"WITH {EV} SELECT event_id, user_id, event_type || ':' || cents AS said FROM ev")
@@ -463,18 +481,29 @@ def subpartition_route(spark, d):
 # --- streams, run to the end of what is there
 
 
-def _stream(spark, d):
+def _stream(spark, d, batches: int = 3):
+    """Events as files that arrive one after the other, one in each micro-batch."""
+    import uuid
+
     from ..sources import stream_feed
 
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    e = stream_feed(spark, d, schema=schema, pathGlobFilter="events.parquet")
+    whole = read_table(spark, d, "events")
+    feed = f"{_folder(spark)}/feed-{uuid.uuid4().hex}"
+    ends = whole.approxQuantile("event_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
+    for low, high in zip([None, *ends], [*ends, None], strict=True):
+        part = whole if low is None else whole.where(F.col("event_id") > low)
+        (part if high is None else part.where(F.col("event_id") <= high)).coalesce(1).write.mode("append").parquet(feed)
+    e = stream_feed(spark, feed, schema=whole.schema, files_per_trigger=1)
     return e.withColumn("at", F.timestamp_millis(millis(e))).withColumn("cents", cents("value"))
 
 
 def _folder(spark):
     import tempfile
 
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-stream")
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return found or "file://" + tempfile.mkdtemp(prefix="tidemark-stream")
 
 
 @query(f"WITH {WT} SELECT user_id, window_start, n FROM wt")

@@ -47,8 +47,12 @@ def memory_table(spark: SparkSession, rows: list, schema: T.StructType | str) ->
     return spark.createDataFrame(rows, schema)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
-    """Partition by a segment column to let reads prune and old segments be dropped."""
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by: list[str] | None = None, order: list[str] | None = None) -> None:
+    """Partition by a segment column to let reads prune and old segments be dropped;
+    ``order`` within files: key first for reads of a key, time first for reads of a
+    span, whose row groups are then skipped by their statistics."""
+    if order:
+        df = df.sortWithinPartitions(*(partition_by or []), *order)
     writer = df.write.format(fmt).mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
@@ -58,8 +62,33 @@ def write_bucketed(df: DataFrame, table: str, buckets: int, keys: list[str]) ->
     df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
 
 
+def kafka_sink(df: DataFrame, servers: str, topic: str, key: str, value: list[str] | None = None, checkpoint: str | None = None):
+    """Rows to a Kafka topic, key as text and value as JSON of the columns given (all
+    but the key): a batch write, or for a stream the writer to start. Needs Spark's
+    Kafka package on the class path."""
+    columns = value or [c for c in df.columns if c != key]
+    out = df.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*columns)).alias("value"))
+    if df.isStreaming:
+        return out.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint)
+    return out.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic)
+
+
+def repartition_by(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Exactly ``n`` partitions, each key in one of them."""
+    if n < 1:
+        raise ValueError("the number of partitions must be positive")
+    return df.repartition(n, *keys)
+
+
+def use_window_filter(spark: SparkSession, on: bool = True) -> None:
+    """Bloom filters made at run time that spare joins rows without a match."""
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", str(on).lower())
+
+
 def use_state_backend(spark: SparkSession, name: str) -> None:
     if name not in STATE_BACKENDS:
         raise ValueError(f"state backend must be one of {sorted(STATE_BACKENDS)}")
     if STATE_BACKENDS[name]:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_BACKENDS[name])
+    if name == "rocksdb":  # checkpoints hold what changed, not whole snapshots
+        spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")

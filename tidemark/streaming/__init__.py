@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.listener import StreamingQueryListener
@@ -65,36 +65,144 @@ def stateful_stream(df: DataFrame, keys: list[str], order: str, step: Callable,
     return df.groupBy(*keys).applyInPandasWithState(run, output, state, mode, "NoTimeout")
 
 
+def timed_stream(df: DataFrame, keys: list[str], ts: str, order: str, step: Callable, expired: Callable, output: T.StructType | str, state: T.StructType | str, grace: str = "0 seconds", mode: str = "append") -> DataFrame:
+    """A fold with event-time timers. ``step(state tuple or None, row as dict)`` gives
+    (state tuple or None, rows as dicts, due time in milliseconds or None); once the
+    watermark passes the due time of a key, ``expired(key, state)`` gives its last rows
+    and the state goes. A due time that each row moves on is a time to live of the
+    state; one set once is a punctuation. A key whose time was up before its next
+    row came is closed first, in the same micro-batch."""
+    if isinstance(state, str):
+        state = T._parse_datatype_string(state)
+    kept = T.StructType([T.StructField("__due", T.LongType()), *state.fields])
+
+    def run(key, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
+        out = []
+        if held.hasTimedOut:
+            out = list(expired(key, held.get[1:]))
+            held.remove()
+        else:
+            due, *now = held.get if held.exists else (None,)
+            now = tuple(now) or None
+            if now is not None and due is not None and due <= held.getCurrentWatermarkMs():
+                out.extend(expired(key, now))
+                now, due = None, None
+            for row in pd.concat(list(frames)).sort_values(order).to_dict("records"):
+                now, more, later = step(now, row)
+                due = due if later is None and now is not None else later
+                out.extend(more)
+            if now is None:
+                if held.exists:
+                    held.remove()
+            else:
+                held.update((due, *now))
+                if due is not None:
+                    held.setTimeoutTimestamp(max(int(due), held.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out)
+
+    return df.withWatermark(ts, grace).groupBy(*keys).applyInPandasWithState(run, output, kept, mode, "EventTimeTimeout")
+
+
+def key_batch_stream(df: DataFrame, key: str, ts: str, item: str, size: str, max_count: int = 50, max_size: int = 1000, max_age: int = 30_000, grace: str = "0 seconds") -> DataFrame:
+    """Batches of a key's rows as the array of their ``item`` (a long), with the time
+    of the first: put out by the row that makes a batch hold more than ``max_count``
+    rows or more than ``max_size`` in all, or by a timer once the watermark is
+    ``max_age`` milliseconds past the batch's first row."""
+    src = df.select(key, ts, F.col(item).cast("long").alias("__item"), F.col(size).cast("long").alias("__size"), F.unix_millis(F.col(ts).cast("timestamp")).alias("__ms"))
+    kind = src.schema[key].dataType.simpleString()
+
+    def row_of(k, state):
+        return {key: k, "first_ms": state[0], "items": list(state[2]), "total": state[1]}
+
+    def step(state, row):
+        first, total, items = state if state else (row["__ms"], 0, [])
+        total, items = total + row["__size"], [*items, row["__item"]]
+        if len(items) > max_count or total > max_size:
+            return None, [row_of(row[key], (first, total, items))], None
+        return (first, total, items), [], first + max_age
+
+    return timed_stream(src, [key], ts, ts, step, lambda k, state: [row_of(k[0], state)], f"`{key}` {kind}, first_ms bigint, items array<bigint>, total bigint", "first_ms bigint, total bigint, items array<bigint>", grace)
+
+
+def peek(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """``df`` unchanged, and what is observed of the rows that pass by."""
+    seen = Observation(name)
+    return df.observe(seen, *(m.alias(n) for n, m in metrics.items())), seen
+
+
+def triggers(every: str | None = None, files: int | None = None, size: str | None = None) -> tuple[dict, dict]:
+    """(options of the source, trigger): micro-batches by number of files, by bytes,
+    or by time; without a time, all there is at once, in batches of that many."""
+    options = {k: str(v) for k, v in (("maxFilesPerTrigger", files), ("maxBytesPerTrigger", size)) if v is not None}
+    return options, {"processingTime": every} if every else {"availableNow": True}
+
+
+def state_table(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
+    """Keys and values of a stream's state as of its last finished batch."""
+    return spark.read.format("statestore").option("operatorId", operator).load(checkpoint)
+
+
+class _Versions:
+    """Numbered folders under a path; a folder counts once its write has finished."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.path = spark._jvm, path
+        self.root = self.jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def finished(self) -> list[int]:
+        if not self.fs.exists(self.root):
+            return []
+        done = []
+        for x in self.fs.listStatus(self.root):
+            name = x.getPath().getName()
+            if name.isdigit() and self.fs.exists(self.jvm.org.apache.hadoop.fs.Path(x.getPath(), "_SUCCESS")):
+                done.append(int(name))
+        return sorted(done)
+
+    def drop(self, number: int) -> None:
+        self.fs.delete(self.jvm.org.apache.hadoop.fs.Path(self.root, str(number)), True)
+
+
 class TableSink:
-    """``foreachBatch`` target that keeps the newest version of each key as
-    Parquet: versions alternate between folders, the last finished one counts, and
-    a batch that was already merged is passed over (batch numbers are in the path).
+    """``foreachBatch`` target that keeps the newest version of each key as Parquet,
+    one folder a batch under ``path``. The last finished folder is the table; it is
+    looked up on disk, so a restarted query goes on from it, and a batch that was
+    already merged is passed over. The folder before it is kept for readers that
+    began with it; older ones go.
     """
 
     def __init__(self, path: str, keys: list[str], seq: str, value: str | None = None):
         self.path, self.keys, self.seq, self.value = path, keys, seq, value
-        self.done: int | None = None
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        if self.done is not None and number <= self.done:
+        spark = batch.sparkSession
+        versions = _Versions(spark, self.path)
+        done = versions.finished()
+        if done and number <= done[-1]:
             return
         rows = latest_by_key(batch, self.keys, self.seq)
-        if self.done is not None:
-            rows = latest_by_key(rows.unionByName(batch.sparkSession.read.parquet(f"{self.path}/{self.done}")), self.keys, self.seq)
+        if done:
+            rows = latest_by_key(rows.unionByName(spark.read.parquet(f"{self.path}/{done[-1]}")), self.keys, self.seq)
         rows.write.mode("overwrite").parquet(f"{self.path}/{number}")
-        self.done = number
+        for old in done[:-1]:
+            versions.drop(old)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        table = spark.read.parquet(f"{self.path}/{self.done}")
+        table = spark.read.parquet(f"{self.path}/{_Versions(spark, self.path).finished()[-1]}")
         return table if self.value is None else table.where(F.col(self.value).isNotNull())
 
 
-def run_to_end(df: DataFrame, folder: str, mode: str = "append", sink: TableSink | None = None) -> DataFrame | None:
-    """Runs a stream over what is there (availableNow) into Parquet under
-    ``folder``, or into ``sink``, and returns the rows written."""
+def run_to_end(df: DataFrame, folder: str, mode: str = "append", sink: TableSink | None = None, keys: list[str] | None = None, checkpoint: str | None = None) -> DataFrame | None:
+    """Runs a stream over what is there (availableNow) into Parquet under ``folder``,
+    or into ``sink``, and returns its outcome: all rows (append), those of the last
+    batch (complete), or the last row of each of ``keys`` (update)."""
     spark = df.sparkSession
+    if mode == "update" and sink is None and not keys:
+        raise ValueError("update mode needs the keys that rows replace one another by")
     name = uuid.uuid4().hex
-    out, marks = f"{folder}/stream-{name}", f"{folder}/marks-{name}"
+    out, marks = f"{folder}/stream-{name}", checkpoint or f"{folder}/marks-{name}"
     writer = df.writeStream.option("checkpointLocation", marks).trigger(availableNow=True).outputMode(mode)
     if sink is not None:
         query = writer.foreachBatch(sink).start()
@@ -105,23 +213,44 @@ def run_to_end(df: DataFrame, folder: str, mode: str = "append", sink: TableSink
     query.awaitTermination()
     if sink is not None:
         return sink.read(spark)
-    return spark.read.schema(df.schema).parquet(out) if mode == "append" else spark.read.option("recursiveFileLookup", "true").parquet(out)
+    if mode == "append":
+        return spark.read.schema(df.schema).parquet(out)
+    done = _Versions(spark, out).finished()
+    if mode == "complete":
+        return spark.read.parquet(f"{out}/{done[-1]}").drop("__batch")
+    rows = spark.read.parquet(*[f"{out}/{n}" for n in done])
+    return latest_by_key(rows, keys, "__batch").drop("__batch")
 
 
 class ProgressLog(StreamingQueryListener):
-    """Collects the progress of a session's streams: rates, offsets, state sizes."""
+    """Collects the progress of a session's streams (rates, offsets, state sizes), and
+    calls hooks: ``started(event)``, ``progressed(progress)``, ``ended(event)``."""
 
-    def __init__(self, keep: int = 1000):
+    def __init__(self, keep: int = 1000, started: Callable | None = None, progressed: Callable | None = None, ended: Callable | None = None):
         self.keep, self.progress = keep, []
+        self.started, self.progressed, self.ended = started, progressed, ended
 
     def onQueryStarted(self, event):
-        pass
+        if self.started:
+            self.started(event)
 
     def onQueryProgress(self, event):
         self.progress = [*self.progress, event.progress][-self.keep :]
+        if self.progressed:
+            self.progressed(event.progress)
 
     def onQueryIdle(self, event):
         pass
 
     def onQueryTerminated(self, event):
-        pass
+        if self.ended:
+            self.ended(event)
+
+
+def diagnose(rates: DataFrame, arrived: str, processed: str, capacity: float, low: float = 0.3, high: float = 0.8) -> DataFrame:
+    """Rows of rates (arrivals and processed rows in a span of time) with ``action``:
+    "up" where arrivals exceed ``high`` of the capacity or more came than was
+    processed, "down" where they are below ``low`` of it and nothing waits, else "none"."""
+    behind = F.col(arrived) > F.col(processed)
+    action = F.when(behind | (F.col(arrived) > capacity * high), "up").when(F.col(arrived) < capacity * low, "down").otherwise("none")
+    return rates.withColumn("action", action)
