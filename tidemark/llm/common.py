@@ -166,7 +166,7 @@ class Words:
         return self._hash
 
 
-def batches(column, rows: int = 256, size: int = 4_000_000):
+def batches(column, rows: int = 256, size: int = 1_500_000):
     """Slices of a list of texts: at most ``rows`` of them, and about ``size``
     characters, so that memory doesn't follow the longest run of texts. A single
     longer text is a slice of its own."""
