@@ -57,6 +57,8 @@ FAR, SHARE = 80, 3
 #: Pairs looked at together.
 CHUNK = 500_000
 _BITS = ["b0", "b1", "b2", "b3"]
+#: Tasks that the documents of one minimum hash are spread over.
+SALTS = 16
 
 
 def shingle_sets(texts: list, n: int) -> Iterator[np.ndarray]:
@@ -417,8 +419,9 @@ def links(docs: DataFrame, rows: DataFrame, percent: int, n: int, text: str, key
     alike = F.expr("size(filter(sequence(1, 16), i -> substring(sig, i, 1) = substring(csig, i, 1)))")
     stars = []
     for m in ("m1", "m2"):
-        low = classes.groupBy(m).agg(F.min(F.struct("common", "rep", "size", "sig")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1").select(m, F.col("c.rep").alias("a"), F.col("c.size").alias("csize"), F.col("c.sig").alias("csig"))
-        star = classes.join(low, m).where(f"a != rep and 100L * least(size, csize) >= {percent}L * greatest(size, csize)")
+        low = classes.groupBy(m).agg(F.min(F.struct("common", "rep", "size", "sig")).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1").select(m, F.col("c.rep").alias("a"), F.col("c.size").alias("csize"), F.col("c.sig").alias("csig"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        # many near copies of one text share a minimum: they are spread over salts
+        star = classes.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(low, [m, "salt"]).where(f"a != rep and 100L * least(size, csize) >= {percent}L * greatest(size, csize)")
         stars.append(star.where(alike >= 11).select("a", F.col("rep").alias("b")))
     linked = F.expr(f"100L * common >= {percent}L * (sa + sb - common)")
     far = 1 - F.col("common") / (F.col("sa") + F.col("sb") - F.col("common"))
