@@ -108,4 +108,22 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                    doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+        "op6_substring_dedup": r"""
+            WITH r AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+              x AS (SELECT rid, i, sha256(array_to_string(words[i:i + 34], ' ')) AS win FROM r, unnest(generate_series(1, len(words) - 34)) AS t(i)),
+              again AS (SELECT win FROM x GROUP BY win HAVING count(*) > 1),
+              gone AS (SELECT DISTINCT rid, i + k AS p FROM x, unnest(range(35)) AS t(k) WHERE win IN (SELECT win FROM again)),
+              u AS (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM r),
+              kept AS (SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS said FROM u ANTI JOIN gone USING (rid, p) GROUP BY rid)
+            SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+            FROM r LEFT JOIN kept USING (rid)""",
+        "op10_jaccard_join": r"""
+            WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+              e AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 2], ' ') AS shingle FROM w, unnest(generate_series(1, greatest(len(words) - 2, least(len(words), 1)))) AS t(i)),
+              sizes AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
+              pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+              links AS (SELECT x, y FROM pairs JOIN sizes p ON x = p.doc_id JOIN sizes q ON y = q.doc_id WHERE 100 * common >= 90 * (p.n + q.n - common)),
+              ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+              met AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT y, root FROM met JOIN ways ON x = met.doc_id)
+            SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id FROM met LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
     }
