@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import stateful, ttl
+from tidemark.streaming import ChangeSink, run_to_end, stateful_stream
 
 
 @pytest.fixture(params=[3, 10_000])
@@ -97,3 +98,34 @@ def test_nothing_and_odd_keys(short):
     odd = short.createDataFrame([(float("nan"), [1], i, i) for i in range(5)] + [(None, [1], 5, 5), (None, [2], 6, 6), (1.0, [1], 7, 7)], "x double, y array<int>, seq long, ms long")
     got = stateful.key_batches(odd.select("*", F.lit(1).alias("one")), ["x"], "seq", "ms", F.col("one"))
     assert sorted(r["rows"] for r in got.collect()) == [1, 2, 5]
+
+
+def test_change_sink_merges_and_restarts(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    sink = lambda **kw: ChangeSink(path, ["u"], "seq", share=1e9, every=2, **kw)
+    rows = lambda *r: spark.createDataFrame(r, "u long, seq long, v string")
+    held = lambda: sorted(map(tuple, sink().read(spark).collect()))
+    folders = lambda kind: sorted(x.name for x in (tmp_path / "table" / kind).iterdir() if x.is_dir())
+    sink()(rows((1, 1, "a"), (1, 2, "b"), (2, 2, "b")), 0)
+    assert held() == [(1, 2, "b"), (2, 2, "b")] and folders("merged") == ["0"]  # the first batch is the table
+    sink()(rows((1, 3, "c")), 1)
+    sink()(rows((1, 9, "replayed")), 1)
+    assert held() == [(1, 3, "c"), (2, 2, "b")] and folders("merged") == ["0"]
+    sink()(rows((3, 1, "old")), 2)
+    assert folders("merged") == ["0", "2"] and folders("changes") == ["1", "2"]
+    (tmp_path / "table" / "changes" / "3").mkdir()  # a write that broke off
+    sink()(rows((3, 4, None)), 3)
+    sink()(rows((2, 1, "late")), 4)
+    assert folders("merged") == ["2", "4"] and folders("changes") == ["3", "4"]
+    assert held() == [(1, 3, "c"), (2, 2, "b"), (3, 4, None)] and sink(value="v").read(spark).count() == 2
+    with pytest.raises(ValueError):
+        ChangeSink(path, ["u"], "seq", share=0)
+
+
+def test_fold_of_a_stream_row_after_row(spark, tmp_path):
+    for part in ([(1, 1), (1, 2), (2, 3)], [(1, 4)]):
+        spark.createDataFrame(part, "k long, seq long").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+    df = spark.readStream.schema("k long, seq long").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+    step = lambda state, row: ((n := (state[0] if state else 0) + 1,), [{"k": row["k"], "n": n}] if n > 1 else [])
+    got = run_to_end(stateful_stream(df, ["k"], "seq", step, "k long, n long", "n long"), f"file://{tmp_path}/out")
+    assert sorted(map(tuple, got.collect())) == [(1, 2), (1, 3)]

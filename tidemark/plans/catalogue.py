@@ -526,11 +526,11 @@ def stream_dedup(spark, d):
 def stream_running_count(spark, d):
     from .. import streaming
 
-    def step(state, row):
-        n = (state[0] if state else 0) + 1
-        return (n,), [{"event_id": row["event_id"], "user_id": row["user_id"], "n": n}]
+    def step(state, rows):
+        n = state[0] if state else 0
+        return (n + len(rows),), rows.assign(n=range(n + 1, n + 1 + len(rows)))
 
-    out = streaming.stateful_stream(_stream(spark, d).select("event_id", "user_id"), ["user_id"], "event_id", step, "event_id long, user_id long, n long", "n long")
+    out = streaming.stateful_frames(_stream(spark, d).select("event_id", "user_id"), ["user_id"], "event_id", step, "event_id long, user_id long, n long", "n long")
     return streaming.run_to_end(out, _folder(spark))
 
 
@@ -541,7 +541,7 @@ def stream_table_latest(spark, d):
     folder = _folder(spark)
     import uuid
 
-    sink = streaming.TableSink(f"{folder}/table-{uuid.uuid4().hex}", ["user_id"], "event_id")
+    sink = streaming.ChangeSink(f"{folder}/table-{uuid.uuid4().hex}", ["user_id"], "event_id")
     return streaming.run_to_end(_stream(spark, d).select("user_id", "event_id", "event_type"), folder, "update", sink)
 
 

@@ -44,27 +44,35 @@ def interval_stream_join(left: DataFrame, right: DataFrame, keys: list[str], lef
     return a.join(b, on)
 
 
-def stateful_stream(df: DataFrame, keys: list[str], order: str, step: Callable, output: T.StructType | str, state: T.StructType | str, mode: str = "append") -> DataFrame:
-    """A fold of each key's rows, kept across micro-batches.
-
-    ``step(state tuple or None, row as dict)`` gives (state tuple, rows as dicts);
-    within a micro-batch a key's rows come in order of ``order``.
-    """
+def stateful_frames(df: DataFrame, keys: list[str], order: str, step: Callable, output: T.StructType | str, state: T.StructType | str, mode: str = "append") -> DataFrame:
+    """A fold of each key's rows, kept across micro-batches, by whole columns:
+    ``step(state tuple or None, a key's rows of the micro-batch as a frame in order of
+    ``order``)`` gives (state tuple or None, frame of rows or None)."""
 
     def run(key, frames: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        now = held.get if held.exists else None
-        out = []
-        for row in pd.concat(list(frames)).sort_values(order).to_dict("records"):
-            now, more = step(now, row)
-            out.extend(more)
+        now, out = step(held.get if held.exists else None, pd.concat(list(frames)).sort_values(order, kind="stable"))
         if now is not None:
             held.update(now)
-        if out:
-            yield pd.DataFrame(out)
+        if out is not None and len(out):
+            yield out
 
     return df.groupBy(*keys).applyInPandasWithState(run, output, state, mode, "NoTimeout")
 
 
+def stateful_stream(df: DataFrame, keys: list[str], order: str, step: Callable, output: T.StructType | str, state: T.StructType | str, mode: str = "append") -> DataFrame:
+    """As :func:`stateful_frames`, for steps that need row after row:
+    ``step(state tuple or None, row as dict)`` gives (state tuple, rows as dicts)."""
+
+    def run(now, frame):
+        out: list[dict] = []
+        for row in frame.to_dict("records"):
+            now, more = step(now, row)
+            out.extend(more)
+        return now, pd.DataFrame(out)
+
+    return stateful_frames(df, keys, order, run, output, state, mode)
+
+
 def timed_stream(df: DataFrame, keys: list[str], ts: str, order: str, step: Callable, expired: Callable, output: T.StructType | str, state: T.StructType | str, grace: str = "0 seconds", mode: str = "append") -> DataFrame:
     """A fold with event-time timers. ``step(state tuple or None, row as dict)`` gives
     (state tuple or None, rows as dicts, due time in milliseconds or None); once the
@@ -161,6 +169,9 @@ class _Versions:
                 done.append(int(name))
         return sorted(done)
 
+    def size(self, number: int) -> int:
+        return self.fs.getContentSummary(self.jvm.org.apache.hadoop.fs.Path(self.root, str(number))).getLength()
+
     def drop(self, number: int) -> None:
         self.fs.delete(self.jvm.org.apache.hadoop.fs.Path(self.root, str(number)), True)
 
@@ -194,6 +205,58 @@ class TableSink:
         return table if self.value is None else table.where(F.col(self.value).isNotNull())
 
 
+class ChangeSink(TableSink):
+    """As :class:`TableSink`, for tables much larger than what a batch changes: a batch
+    writes the newest versions of its own keys only, under ``changes``. Once the changes
+    not yet merged have ``share`` of the bytes of the table under ``merged``, or are
+    ``every`` batches, all are written together as the next ``merged`` table. A
+    reader takes the newest of both. What is written for a row is thus bounded by
+    1 + 1 / ``share`` or, for small batches, by a table each ``every`` batches.
+
+    A batch counts once its changes have been written, so a restart goes on after it; a
+    merge that broke off is done again by a later batch. Folders that the last merged
+    table but one has taken in go; the last one's stay for readers that began before.
+    """
+
+    def __init__(self, path: str, keys: list[str], seq: str, value: str | None = None, share: float = 0.5, every: int = 64):
+        super().__init__(path, keys, seq, value)
+        if share <= 0 or every < 1:
+            raise ValueError("share and every must be positive")
+        self.share, self.every = share, every
+
+    def _state(self, spark: SparkSession) -> tuple[_Versions, _Versions, list[int], list[int]]:
+        """Both kinds of folders, the numbers of merged tables, and of changes since."""
+        changes, merged = _Versions(spark, f"{self.path}/changes"), _Versions(spark, f"{self.path}/merged")
+        tops = merged.finished()
+        return changes, merged, tops, [n for n in changes.finished() if not tops or n > tops[-1]]
+
+    def _table(self, spark: SparkSession, tops: list[int], waiting: list[int]) -> DataFrame:
+        folders = [*(f"{self.path}/merged/{n}" for n in tops[-1:]), *(f"{self.path}/changes/{n}" for n in waiting)]
+        rows = spark.read.parquet(*folders)
+        return latest_by_key(rows, self.keys, self.seq) if len(folders) > 1 else rows
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        _, _, tops, waiting = self._state(spark)
+        if number <= max([*tops, *waiting], default=-1):
+            return
+        latest_by_key(batch, self.keys, self.seq).write.mode("overwrite").parquet(f"{self.path}/changes/{number}")
+        changes, merged, tops, waiting = self._state(spark)
+        if len(waiting) < self.every and tops and sum(map(changes.size, waiting)) < self.share * merged.size(tops[-1]):
+            return
+        self._table(spark, tops, waiting).write.mode("overwrite").parquet(f"{self.path}/merged/{number}")
+        for n in changes.finished():
+            if tops and n <= tops[-1]:
+                changes.drop(n)
+        for n in tops[:-1]:
+            merged.drop(n)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        _, _, tops, waiting = self._state(spark)
+        table = self._table(spark, tops, waiting)
+        return table if self.value is None else table.where(F.col(self.value).isNotNull())
+
+
 def run_to_end(df: DataFrame, folder: str, mode: str = "append", sink: TableSink | None = None, keys: list[str] | None = None, checkpoint: str | None = None) -> DataFrame | None:
     """Runs a stream over what is there (availableNow) into Parquet under ``folder``,
     or into ``sink``, and returns its outcome: all rows (append), those of the last
