@@ -7,8 +7,9 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import stateful, ttl
-from tidemark.streaming import ChangeSink, run_to_end, stateful_stream
+from tidemark.functions.time import stream_time
+from tidemark.operators import joins, stateful, ttl
+from tidemark.streaming import ChangeSink, ProgressLog, run_to_end, stateful_stream
 
 
 @pytest.fixture(params=[3, 10_000])
@@ -129,3 +130,36 @@ def test_fold_of_a_stream_row_after_row(spark, tmp_path):
     step = lambda state, row: ((n := (state[0] if state else 0) + 1,), [{"k": row["k"], "n": n}] if n > 1 else [])
     got = run_to_end(stateful_stream(df, ["k"], "seq", step, "k long, n long", "n long"), f"file://{tmp_path}/out")
     assert sorted(map(tuple, got.collect())) == [(1, 2), (1, 3)]
+
+
+@pytest.mark.parametrize("bucket", [2, 7, 65_536])
+def test_stream_time_of_sparse_numbers(spark, bucket):
+    r = random.Random(bucket)
+    rows = sorted((s, r.choice([None, r.randrange(1000)])) for s in {r.randrange(-500, 10**6) if i % 3 else i for i in range(200)})
+    top, want = None, []
+    for s, ms in rows:
+        top = ms if top is None else top if ms is None else max(top, ms)
+        want.append((s, ms, top))
+    assert sorted(map(tuple, stream_time(spark.createDataFrame(rows, "seq long, ms long"), "seq", "ms", bucket=bucket).collect())) == want
+
+
+def test_state_scan_with_tombstones(short):
+    r = random.Random(5)
+    rows = [(r.choice("gh"), i, r.choice(["a", "b", "c", "d", None]), r.choice([None, f"v{i}."])) for i in range(120)]
+    held, want = {"g": {}, "h": {}}, {}
+    for g, i, k, v in rows:
+        want[i] = "".join(held[g][x] for x in sorted(held[g]) if "b" <= x <= "c") + (v or "")
+        if k is not None:
+            held[g].pop(k, None)
+            held[g] |= {} if v is None else {k: v}
+    got = joins.state_scan(short.createDataFrame(rows, "g string, seq long, k string, v string"), ["g"], "seq", "k", "v", low="b", high="c")
+    assert {x["seq"]: x["seen"] for x in got.collect()} == want
+
+
+def test_lag_of_sources():
+    from types import SimpleNamespace as S
+
+    log = ProgressLog()
+    assert log.lag() == {}
+    log.progress = [S(sources=[S(description="feed", latestOffset='{"t": {"0": 7, "1": 5}}', endOffset='{"t": {"0": 4}}'), S(description="rate", latestOffset="9", endOffset="9"), S(description="other", latestOffset=None, endOffset="3")])]
+    assert log.lag() == {"feed": 8, "rate": 0}

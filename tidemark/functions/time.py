@@ -53,12 +53,18 @@ def stream_time(df: DataFrame, seq: str, ms: str, name: str = "stream_time", buc
 
     A running maximum over the whole table would sort it in one task. Here the
     table is cut into ranges of ``seq``; their maxima (one row a range) are
-    accumulated, and each range only adds its own running maximum.
+    accumulated within ranges of ranges, and only the maxima of these in one task:
+    one row for each ``bucket`` squared of ``seq``, also where ``seq`` is sparse, as
+    times are. Each range then adds its own running maximum.
     """
     kept = df.withColumn("__range", F.col(seq) - F.pmod(F.col(seq), F.lit(bucket)))
     tops = kept.groupBy("__range").agg(F.max(ms).alias("__top"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    carried = tops.select("__range", F.max("__top").over(before).alias("__before"))
+    tops = tops.withColumn("__wide", F.col("__range") - F.pmod(F.col("__range"), F.lit(bucket * bucket)))
+    wide = tops.groupBy("__wide").agg(F.max("__top").alias("__most"))
+    far = wide.select("__wide", F.max("__most").over(Window.orderBy("__wide").rowsBetween(Window.unboundedPreceding, -1)).alias("__far"))
+    before = Window.partitionBy("__wide").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    near = tops.select("__wide", "__range", F.max("__top").over(before).alias("__near"))
+    carried = near.join(far, "__wide").select("__range", F.greatest("__near", "__far").alias("__before"))
     own = Window.partitionBy("__range").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     joined = kept.join(carried, "__range")
     return joined.withColumn(name, F.greatest(F.max(ms).over(own), F.col("__before"))).drop("__range", "__before")

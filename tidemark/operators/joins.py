@@ -93,20 +93,29 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], left_ms: s
 def state_scan(df: DataFrame, group: list[str], seq: str, key: str, value: str, low=None, high=None, name: str = "seen") -> DataFrame:
     """Each row with the newest earlier values of its group's keys from ``low`` to
     ``high``, joined in order of key, and its own value last. One pass over each
-    group; what it holds is the newest value of each key, not the rows."""
+    group; what it holds is the newest value of each key in the range, kept in order,
+    not the rows. A null value takes its key out; a null key is in no range."""
+    from bisect import bisect_left
+
     from pyspark.sql import types as T
 
     src = df.select(*df.columns, F.col(key).alias("__k"), F.col(value).cast("string").alias("__v"))
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.StringType())])
 
     def step(state, row):
-        state = state or {}
+        keys, values = state or ([], [])
         k, v = row[-2], row[-1]
-        said = "".join(state[x] for x in sorted(state) if (low is None or x >= low) and (high is None or x <= high)) + (v or "")
-        if v is None:
-            state.pop(k, None)
-        else:
-            state[k] = v
-        return state, ((*row[:-2], said),)
+        said = "".join(values) + (v or "")
+        if k is not None and (low is None or k >= low) and (high is None or k <= high):
+            at = bisect_left(keys, k)
+            known = at < len(keys) and keys[at] == k
+            if known and v is not None:
+                values[at] = v
+            elif known:
+                del keys[at], values[at]
+            elif v is not None:
+                keys.insert(at, k)
+                values.insert(at, v)
+        return (keys, values), ((*row[:-2], said),)
 
     return ordered_fold(src, group, [seq], step, schema)

@@ -6,6 +6,7 @@ batch operators follow it record by record.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -285,6 +286,25 @@ def run_to_end(df: DataFrame, folder: str, mode: str = "append", sink: TableSink
     return latest_by_key(rows, keys, "__batch").drop("__batch")
 
 
+def _offsets(text: str | None) -> dict[str, int] | None:
+    """The numbers in a source's offset, by their place in it."""
+    try:
+        held = json.loads(text)
+    except (TypeError, ValueError):
+        return None
+    if isinstance(held, int):
+        return {"": held}
+    if not isinstance(held, dict):
+        return None
+    found = {}
+    for at, x in held.items():
+        if isinstance(x, dict):
+            found |= {f"{at}/{k}": n for k, n in x.items() if isinstance(n, int)}
+        elif isinstance(x, int):
+            found[at] = x
+    return found or None
+
+
 class ProgressLog(StreamingQueryListener):
     """Collects the progress of a session's streams (rates, offsets, state sizes), and
     calls hooks: ``started(event)``, ``progressed(progress)``, ``ended(event)``."""
@@ -293,6 +313,17 @@ class ProgressLog(StreamingQueryListener):
         self.keep, self.progress = keep, []
         self.started, self.progressed, self.ended = started, progressed, ended
 
+    def lag(self) -> dict[str, int]:
+        """Records of each source that a stream's last batch left waiting, from its
+        sources' latest and end offsets (of a feed with numbered offsets: the sum over
+        its partitions); sources that report no such numbers are left out."""
+        out = {}
+        for source in self.progress[-1].sources if self.progress else []:
+            latest, ended = _offsets(source.latestOffset), _offsets(source.endOffset)
+            if latest is not None and ended is not None:
+                out[source.description] = sum(max(0, n - ended.get(at, 0)) for at, n in latest.items())
+        return out
+
     def onQueryStarted(self, event):
         if self.started:
             self.started(event)
